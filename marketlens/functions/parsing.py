@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .text import strip
 
@@ -20,7 +20,7 @@ def field(v: Column, name: str, type_: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", type_)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _indent_json(raw: pd.Series) -> pd.Series:
     def pretty(text):
         try:

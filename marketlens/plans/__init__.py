@@ -1,6 +1,6 @@
 """Every named query, registered on import."""
 
-from . import leads
+from . import crawl, leads, scoring
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

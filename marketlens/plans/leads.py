@@ -8,6 +8,7 @@ from ..functions import text
 from ..operators import leads as ops
 from ..sources.tables import derived, table
 from . import sql_text as q
+from .dimensions import local_table
 from .registry import query
 
 
@@ -154,7 +155,7 @@ KNOWN_ENTITIES = (("Acme Tech", "ORG"), ("Blue Startup", "ORG"), ("VP Sales", "T
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select("n_name", F.lit("GPE"))
     regions = table(spark, sf_dir, "region").select("r_name", F.lit("GPE"))
-    known = spark.createDataFrame(KNOWN_ENTITIES, "surface string, label string")
+    known = local_table(spark, "surface label", KNOWN_ENTITIES)
     return known.union(nations).union(regions)
 
 
