@@ -47,7 +47,7 @@ def canonical(rows, names):
 
     def value(v):
         if isinstance(v, float):
-            return "nan" if math.isnan(v) else f"{v:.6g}"
+            return "nan" if math.isnan(v) else repr(v + 0.0)
         return repr(v)
 
     return sorted(tuple(value(r[i]) for i in order) for r in rows)
