@@ -1,6 +1,6 @@
 """Every named query, registered on import."""
 
-from . import crawl, files, leads, retrieval, scoring
+from . import crawl, files, leads, metrics, retrieval, scoring
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
