@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .leads import dedupe_leads
 from .metrics import MONEY_OR_PERCENT
 
 
@@ -59,32 +60,42 @@ def fuzzy_match(
     )
 
 
-def fuse(internal: DataFrame, external: DataFrame, key: Column, columns: list[str]) -> DataFrame:
+def fuse(
+    internal: DataFrame,
+    external: DataFrame,
+    key: Column,
+    ids: tuple[str, str],
+    columns: list[str],
+) -> DataFrame:
     """Internal records completed by external ones on a conformed key; internal values win.
 
-    Each side is cut to its first record per key first, so a crowded key joins one
-    row with one row; a record without a key matches nothing and stays.
+    Each side is cut to its first record per key before the join, so a crowded
+    key joins one row with one row. Records without a key match nothing; they
+    go around the join instead of meeting in one partition.
     """
+    left_id, right_id = ids
 
-    def side(df: DataFrame, order: str, prefix: str) -> DataFrame:
-        keyed = df.withColumn("_key", key)
-        first = (
-            keyed.filter("_key is not null")
-            .groupBy("_key")
-            .agg(F.min_by(F.struct(*[c for c in df.columns]), order).alias(prefix))
+    def sides(df: DataFrame, id_column: str, prefix: str) -> tuple[DataFrame, DataFrame]:
+        keyed = df.select(
+            key.alias("fused_key"), *[F.col(c).alias(f"{prefix}{c}") for c in [id_column, *columns]]
         )
-        loose = keyed.filter("_key is null").select("_key", F.struct(*df.columns).alias(prefix))
-        return first.unionByName(loose)
-
-    left = side(internal, "company_id", "i")
-    right = side(external, "external_id", "e")
-    both = left.join(right, "_key", "full_outer")
+        present = keyed.filter("fused_key is not null")
+        first = dedupe_leads(present, ["fused_key"], scope=[], order=[f"{prefix}{id_column}"])
+        return first, keyed.filter("fused_key is null")
+
+    left, left_loose = sides(internal, left_id, "_i_")
+    right, right_loose = sides(external, right_id, "_e_")
+    both = (
+        left.join(right, "fused_key", "full_outer")
+        .unionByName(left_loose, allowMissingColumns=True)
+        .unionByName(right_loose, allowMissingColumns=True)
+    )
     return both.select(
-        "_key",
-        F.col("i.company_id").alias("company_id"),
-        F.col("e.external_id").alias("external_id"),
-        *[F.coalesce(F.col(f"i.{c}"), F.col(f"e.{c}")).alias(c) for c in columns],
-    ).withColumnRenamed("_key", "fused_key")
+        "fused_key",
+        F.col(f"_i_{left_id}").alias(left_id),
+        F.col(f"_e_{right_id}").alias(right_id),
+        *[F.coalesce(f"_i_{c}", f"_e_{c}").alias(c) for c in columns],
+    )
 
 
 def ungrounded_numbers(reports: DataFrame, evidence: DataFrame) -> DataFrame:

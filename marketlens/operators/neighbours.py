@@ -107,6 +107,18 @@ def _vectors(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     ).filter("v is not null")
 
 
+def bounded_queries(q: DataFrame, values: int = BROADCAST_VALUES) -> pa.Table | None:
+    """The query vectors ``(id, v)`` if they hold at most ``values`` numbers, else None.
+
+    One row more than the bound is the most that is ever fetched.
+    """
+    head = q.limit(1).collect()
+    width = len(head[0]["v"]) if head else 1
+    bound = max(1, values // max(1, width))
+    few = q.limit(bound + 1).toArrow()
+    return few if few.num_rows <= bound else None
+
+
 def nearest(
     queries: DataFrame,
     corpus: DataFrame,
@@ -127,12 +139,8 @@ def nearest(
         raise ValueError("k must be positive")
     q = _vectors(queries, *query_columns)
     c = _vectors(corpus, *corpus_columns)
-    head = q.limit(1).collect()
-    if not head:
-        return queries.sparkSession.createDataFrame([], _HITS + ", rank int")
-    bound = max(1, broadcast_values // max(1, len(head[0]["v"])))
-    few = q.limit(bound + 1).toArrow()
-    if few.num_rows > bound:
+    few = bounded_queries(q, broadcast_values)
+    if few is None:
         return block_join(q, c, k, skip_self=skip_self, block_rows=block_rows)
     payload = queries.sparkSession.sparkContext.broadcast(
         (few.column("id").to_numpy(), _matrix(few.column("v")))

@@ -52,14 +52,16 @@ def cosine_filter(
     )
 
 
-def retrieve_context(hits: DataFrame, chunks: DataFrame, *, separator: str = "\n\n") -> DataFrame:
+def retrieve_context(
+    hits: DataFrame, chunks: DataFrame, *, few: bool = False, separator: str = "\n\n"
+) -> DataFrame:
     """The retrieved chunks of each query, best first, joined to one context.
 
-    ``hits`` holds k rows for each of a bounded number of queries, so it is the
-    side sent to the chunks.
+    Say ``few`` when the queries were counted and found to be few: their hits,
+    k rows each, then go to the chunks. Otherwise Spark picks the join.
     """
     return (
-        chunks.join(F.broadcast(hits), "item_id")
+        chunks.join(F.broadcast(hits) if few else hits, "item_id")
         .groupBy("query_id")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_text"))).alias("_c"))
         .select(
@@ -107,43 +109,123 @@ def query_terms(searches: DataFrame, text_column: str) -> DataFrame:
     )
 
 
+def _bm25_part(tf: Column, length: Column, idf: Column, mean_length: Column) -> Column:
+    return idf * tf * (BM25_K1 + 1) / (
+        tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean_length)
+    )
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+
+
+def _best_hits(scored: DataFrame, id_column: str, limit: int) -> DataFrame:
+    order = Window.partitionBy("request_id").orderBy(F.desc("score"), id_column)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
 def bm25(
-    docs: DataFrame, terms: DataFrame, id_column: str, text_column: str, *, limit: int = MAX_RESULTS
+    docs: DataFrame,
+    terms: DataFrame,
+    id_column: str,
+    text_column: str,
+    *,
+    limit: int = MAX_RESULTS,
+    few_terms: int = 1000,
 ) -> DataFrame:
-    """Ranked keyword search, at most ``limit`` hits per request.
+    """Ranked keyword search, at most ``limit`` hits per request ``(request_id, term)``.
 
-    ``terms`` must be a table of search requests of known size: its distinct
-    terms are sent to every task, so words nobody asked for never leave the scan.
+    A small set of requests travels to the documents: one pass gathers the
+    corpus figures, a second scores each document in its row, and only the best
+    rows of each task are exchanged. More requests than that meet the documents'
+    words in a join.
     """
-    spark = docs.sparkSession
-    asked = sorted(r[0] for r in terms.select("term").distinct().collect())
+    asked = terms.select("request_id", "term").limit(few_terms + 1).collect()
+    if len(asked) > few_terms:
+        return _bm25_join(docs, terms, id_column, text_column, limit)
+    words = sorted({r["term"] for r in asked})
+    if not words:
+        return docs.select(
+            F.lit(0).cast("long").alias("request_id"),
+            id_column,
+            F.lit(0.0).alias("score"),
+            F.lit(1).alias("rank"),
+        ).filter("false")
+    read = docs.select(id_column, text.tokens(text_column).alias("_t")).select(
+        id_column,
+        F.size("_t").alias("length"),
+        F.filter("_t", lambda t: t.isin(words)).alias("_m"),
+    )
+    figures = read.agg(
+        F.count("*").alias("n"),
+        F.avg("length").alias("mean_length"),
+        *[F.sum(F.array_contains("_m", w).cast("long")).alias(f"df_{i}") for i, w in enumerate(words)],
+    ).first()
+    n = F.lit(float(figures["n"]))
+    frequency = {w: figures[f"df_{i}"] or 0 for i, w in enumerate(words)}
+    wanted: dict[str, list[int]] = {}
+    for r in asked:
+        wanted.setdefault(r["term"], []).append(r["request_id"])
+    requests_of = F.create_map(
+        *[
+            x
+            for w in words
+            for x in (F.lit(w), F.array(*[F.lit(i).cast("long") for i in wanted[w]]))
+        ]
+    )
+    idf_of = F.create_map(
+        *[x for w in words for x in (F.lit(w), _idf(n, F.lit(float(frequency[w]))))]
+    )
+    mean_length = F.lit(figures["mean_length"] or 1.0)
+
+    def part(word: Column) -> Column:
+        tf = F.size(F.filter("_m", lambda t: t == word))
+        return F.struct(
+            requests_of[word].alias("requests"),
+            _bm25_part(tf, F.col("length"), idf_of[word], mean_length).alias("part"),
+        )
+
+    def total(request: Column) -> Column:
+        own = F.filter("_p", lambda p: F.array_contains(p["requests"], request))
+        return F.struct(
+            request.alias("request_id"),
+            F.round(F.aggregate(own, F.lit(0.0), lambda acc, p: acc + p["part"]), 6).alias("score"),
+        )
+
+    requests = F.array_distinct(F.flatten(F.transform("_p", lambda p: p["requests"])))
+    scored = (
+        read.filter(F.size("_m") > 0)
+        .select(id_column, F.transform(F.array_distinct("_m"), part).alias("_p"))
+        .select(id_column, F.inline(F.transform(requests, total)))
+    )
+    return _best_hits(scored, id_column, limit)
+
+
+def _bm25_join(
+    docs: DataFrame, terms: DataFrame, id_column: str, text_column: str, limit: int
+) -> DataFrame:
     words = docs.select(id_column, text.tokens(text_column).alias("_t")).select(
         id_column, "_t", F.size("_t").alias("length")
     )
     matches = (
-        words.select(
-            id_column, "length", F.explode(F.filter("_t", lambda t: t.isin(asked))).alias("term")
-        )
+        words.select(id_column, "length", F.explode("_t").alias("term"))
         .groupBy(id_column, "length", "term")
         .agg(F.count("*").alias("tf"))
+        .join(terms.select("term").distinct(), "term", "left_semi")
     )
     size = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    frequency = matches.groupBy("term").agg(F.count("*").alias("df"))
     n, mean_length = size.select("n").scalar(), size.select("mean_length").scalar()
-    weight = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(frequency, "term").select("request_id", "term", weight.alias("idf"))
-    tf = F.col("tf")
-    part = (
-        F.col("idf") * tf * (BM25_K1 + 1)
-        / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / mean_length))
+    frequency = matches.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = terms.join(frequency, "term").select(
+        "request_id", "term", _idf(n, F.col("df")).alias("idf")
     )
+    part = _bm25_part(F.col("tf"), F.col("length"), F.col("idf"), mean_length)
     scored = (
         matches.join(weighted, "term")
         .groupBy("request_id", id_column)
         .agg(F.round(F.sum(part), 6).alias("score"))
     )
-    order = Window.partitionBy("request_id").orderBy(F.desc("score"), id_column)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return _best_hits(scored, id_column, limit)
 
 
 def keyword_extract(docs: DataFrame, id_column: str, text_column: str, n: int = 5) -> DataFrame:

@@ -436,6 +436,7 @@ def fuse_internal_external(spark: SparkSession, sf_dir: str) -> DataFrame:
         derived(spark, sf_dir, "internal_companies"),
         derived(spark, sf_dir, "external_companies"),
         F.lower("company_name"),
+        ("company_id", "external_id"),
         ["company_name", "segment"],
     )
 

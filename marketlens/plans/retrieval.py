@@ -167,7 +167,7 @@ def recommend_items(spark: SparkSession, sf_dir: str) -> DataFrame:
       rank::integer as rank from ranked where rank <= 10""",
 )
 def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The large-by-large join, with blocks small enough to need many."""
+    """The large-by-large join: neither side is broadcast."""
     items = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(
         items,
@@ -176,7 +176,6 @@ def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         query_columns=("vec_id", "embedding"),
         skip_self=True,
         broadcast_values=1,
-        block_rows=256,
     )
 
 
@@ -196,7 +195,9 @@ contexts as (
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.retrieve_context(label_hits(spark, sf_dir), embedded_chunks(spark, sf_dir))
+    asked = label_queries(spark, sf_dir).select("label", F.col("embedding").alias("v"))
+    few = neighbours.bounded_queries(asked) is not None
+    return ops.retrieve_context(label_hits(spark, sf_dir), embedded_chunks(spark, sf_dir), few=few)
 
 
 @query(

@@ -22,18 +22,21 @@ def is_json_document(c: Column | str) -> Column:
 
 def records(files: DataFrame, schema: T.StructType) -> DataFrame:
     """Rows of file texts ``(source_file, value)``: array elements, or the one object, in order."""
-    parsed = F.from_json("value", T.ArrayType(schema))
     return (
         files.filter(is_json_document("value"))
-        .select("source_file", F.posexplode(parsed).alias("ordinal", "_r"))
+        .select(
+            "source_file",
+            F.posexplode(F.from_json("value", T.ArrayType(schema))).alias("ordinal", "_r"),
+        )
         .filter(F.col("_r").isNotNull())
         .select("source_file", F.col("ordinal").cast("long").alias("ordinal"), "_r.*")
     )
 
 
-def rejects(files: DataFrame) -> DataFrame:
-    """Files that hold no JSON document, to report; the others go on without them."""
-    return files.filter(~is_json_document("value")).select(
+def rejects(files: DataFrame, schema: T.StructType) -> DataFrame:
+    """Files that hold no JSON records, to report; the others go on without them."""
+    unreadable = F.from_json("value", T.ArrayType(schema)).isNull()
+    return files.filter(~is_json_document("value") | unreadable).select(
         "source_file", F.length("value").alias("n_chars")
     )
 
@@ -60,7 +63,7 @@ def read_raw_drop(
 ) -> tuple[DataFrame, DataFrame]:
     """Records of a drop folder, and the files that could not be read."""
     files = whole_files(spark, path, **naming)
-    return records(files, schema), rejects(files)
+    return records(files, schema), rejects(files, schema)
 
 
 def read_json_documents(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.chunks import chunk_paragraphs
 from ..operators.retrieval import embed_hash
@@ -14,7 +14,14 @@ class MissingIndex(LookupError):
     """The named index does not exist."""
 
 
-def append(chunks: DataFrame, path: str, index_name: str, *, skip_known: bool = False) -> None:
+def append(
+    chunks: DataFrame,
+    path: str,
+    index_name: str,
+    *,
+    id_column: str = "doc_id",
+    skip_known: bool = False,
+) -> None:
     """Add chunk vectors to a named index, which is created if new.
 
     Appending the same chunks again duplicates them, unless ``skip_known`` drops
@@ -24,12 +31,14 @@ def append(chunks: DataFrame, path: str, index_name: str, *, skip_known: bool =
         "chunk_hash", F.sha2("chunk_text", 256)
     )
     if skip_known:
-        rows = rows.dropDuplicates(["chunk_hash"])
         try:
             known = load(chunks.sparkSession, path, index_name).select("chunk_hash")
             rows = rows.join(known, "chunk_hash", "left_anti")
         except MissingIndex:
             pass
+        # The first of equal chunks, cut to one per task before the exchange.
+        first = Window.partitionBy("chunk_hash").orderBy(id_column, "chunk_ix")
+        rows = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     write_partitioned(rows, path, "index_name", mode="append")
 
 
@@ -53,4 +62,4 @@ def embed_chunks(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
 
 def ingest(docs: DataFrame, id_column: str, text_column: str, path: str, index_name: str) -> None:
     """Chunk, embed and append documents."""
-    append(embed_chunks(docs, id_column, text_column), path, index_name)
+    append(embed_chunks(docs, id_column, text_column), path, index_name, id_column=id_column)

@@ -37,7 +37,7 @@ def stream_raw_drop(
     def handle(batch: DataFrame, batch_id: int) -> None:
         leads = clean_leads(records(batch, LEAD_SCHEMA))
         dedupe_leads(leads).write.mode("overwrite").parquet(f"{clean_path}/batch={batch_id}")
-        rejects(batch).write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
+        rejects(batch, LEAD_SCHEMA).write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
 
     return (
         files.writeStream.foreachBatch(handle)
