@@ -7,15 +7,15 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-_CHECKPOINT_DIR = "spark.checkpoint.dir"
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set (tests)."""
-    folder = spark.conf.get(_CHECKPOINT_DIR, None)
+    """The folder of ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set(_CHECKPOINT_DIR, folder)
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
