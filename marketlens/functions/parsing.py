@@ -12,8 +12,8 @@ from .text import strip
 
 def parsed_object(c: Column | str) -> Column:
     """VARIANT of a JSON object, NULL for invalid JSON and for any other JSON value."""
-    v = F.try_parse_json(F.col(c) if isinstance(c, str) else c)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    raw = F.col(c) if isinstance(c, str) else c
+    return F.when(raw.rlike(r"^\s*\{"), F.try_parse_json(raw))
 
 
 def field(v: Column, name: str, type_: str) -> Column:

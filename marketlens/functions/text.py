@@ -120,18 +120,31 @@ def keyword_split(c: Column | str) -> Column:
 def keyword_pack(
     keywords: Column | str, fallback: Column | str, budget: int = MAX_QUERY_CHARS
 ) -> Column:
-    """OR-join keywords while they fit; the first that does not fit ends the query."""
-    state = F.struct(F.lit("").alias("q"), F.lit(False).alias("full"))
+    """OR-join keywords while they fit; the first that does not fit ends the query.
+
+    Only lengths are folded; the text is put together once. Empty keywords add
+    no joiner while the query is still empty, so leading ones are skipped.
+    """
+    words = _col(keywords)
+    state = F.struct(*[F.lit(0).alias(n) for n in ("chars", "kept", "skipped", "full")])
 
     def step(acc: Column, word: Column) -> Column:
-        longer = F.concat(
-            F.when(acc["q"] == "", "").otherwise(F.concat(acc["q"], F.lit(KEYWORD_JOINER))), word
+        empty = acc["chars"] == 0
+        chars = acc["chars"] + F.length(word) + F.when(empty, 0).otherwise(len(KEYWORD_JOINER))
+        fits = (acc["full"] == 0) & (chars <= budget)
+        blank = empty & (word == "")
+        return F.struct(
+            F.when(fits, chars).otherwise(acc["chars"]).alias("chars"),
+            (acc["kept"] + (fits & ~blank).cast("int")).alias("kept"),
+            (acc["skipped"] + (fits & blank).cast("int")).alias("skipped"),
+            F.when(fits, 0).otherwise(1).alias("full"),
         )
-        full = acc["full"] | (F.length(longer) > budget)
-        return F.struct(F.when(full, acc["q"]).otherwise(longer).alias("q"), full.alias("full"))
 
-    packed = F.aggregate(_col(keywords), state, step)["q"]
-    return F.when(packed == "", _col(fallback)).otherwise(packed)
+    def put_together(counts: Column) -> Column:
+        return F.array_join(F.slice(words, counts["skipped"] + 1, counts["kept"]), KEYWORD_JOINER)
+
+    packed = F.aggregate(words, state, step, put_together)
+    return F.coalesce(blank_to_null(packed), _col(fallback))
 
 
 def search_query_text(force: Column | str, keywords: Column | str) -> Column:
@@ -140,3 +153,24 @@ def search_query_text(force: Column | str, keywords: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD), F.lit(0))
+
+
+def term_counts(token_array: Column | str) -> Column:
+    """``array<struct<term, tf>>`` of a token array, counted within the row.
+
+    ``token_array`` must be a column, not an expression, or it would be computed
+    again for every element. Sorting brings equal tokens together; a count is
+    the distance between the starts of two runs.
+    """
+    t = _col(token_array)
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1))
+    )
+    bounds = F.concat(starts, F.array(F.size(t)))
+    runs = F.zip_with(
+        bounds,
+        F.slice(bounds, F.lit(2), F.size(bounds)),
+        lambda a, b: F.struct(F.get(t, a).alias("term"), (b - a).cast("long").alias("tf")),
+    )
+    complete = F.filter(runs, lambda r: r["tf"].isNotNull())
+    return F.when(F.size(t) > 0, complete)

@@ -15,11 +15,29 @@ MAX_TERMS = 2000
 
 
 def term_pattern(terms: Iterable[str]) -> str:
-    """Any of the terms as whole words, the longer first."""
-    ordered = sorted(set(terms), key=lambda t: (-len(t), t))
-    if len(ordered) > MAX_TERMS:
-        raise ValueError(f"{len(ordered)} terms; use tag_entities for large vocabularies")
-    return r"\b(" + "|".join(re.escape(t).replace(r"\ ", " ") for t in ordered) + r")\b"
+    """Any of the terms as whole words, the longer of two where both fit.
+
+    Shared beginnings are written once, so a word that starts no term is given
+    up at its first letter instead of being held against every term.
+    """
+    distinct = set(terms)
+    if len(distinct) > MAX_TERMS:
+        raise ValueError(f"{len(distinct)} terms; use tag_entities for large vocabularies")
+    tree: dict = {}
+    for term in distinct:
+        node = tree
+        for char in term:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        branches = [re.escape(c) + write(n) for c, n in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return body + "?" if "" in node else body
+
+    return rf"\b({write(tree)})\b"
 
 
 def matches(text: Column | str, terms: Iterable[str]) -> Column:

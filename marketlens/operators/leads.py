@@ -124,8 +124,8 @@ def tag_entities(
     matches reach the grouping exchange.
     """
     grams = F.transform(
-        F.sequence(F.lit(0), F.size("_t") - 1),
-        lambda i: F.transform(
+        "_t",
+        lambda _, i: F.transform(
             F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("_t") - i)),
             lambda n: F.struct(
                 i.alias("pos"),
@@ -136,7 +136,6 @@ def tag_entities(
     )
     found = (
         rows.select(id_column, entity_tokens(text_column).alias("_t"))
-        .filter(F.size("_t") > 0)
         .select(id_column, F.inline(F.flatten(grams)))
         .join(
             gazetteer.select(

@@ -17,12 +17,8 @@ def scale_1_10(x: Column) -> Column:
 def amount_value(raw: Column) -> Column:
     """``$1,200`` -> 1200; K, M and B scale; a percentage stays in points."""
     number = F.regexp_replace(raw, "[^0-9.]", "").try_cast("double")
-    return (
-        F.when(raw.endswith("K"), number * 1e3)
-        .when(raw.endswith("M"), number * 1e6)
-        .when(raw.endswith("B"), number * 1e9)
-        .otherwise(number)
-    )
+    scale = F.create_map(*[F.lit(x) for x in ("K", 1e3, "M", 1e6, "B", 1e9)])
+    return number * F.coalesce(scale[F.right(raw, F.lit(1))], F.lit(1.0))
 
 
 def first_amount(text: Column | str, pattern: str) -> Column:

@@ -194,8 +194,7 @@ def bm25(
 
     requests = F.array_distinct(F.flatten(F.transform("_p", lambda p: p["requests"])))
     scored = (
-        read.filter(F.size("_m") > 0)
-        .select(id_column, F.transform(F.array_distinct("_m"), part).alias("_p"))
+        read.select(id_column, F.transform(F.array_distinct("_m"), part).alias("_p"))
         .select(id_column, F.inline(F.transform(requests, total)))
     )
     return _best_hits(scored, id_column, limit)
@@ -204,14 +203,11 @@ def bm25(
 def _bm25_join(
     docs: DataFrame, terms: DataFrame, id_column: str, text_column: str, limit: int
 ) -> DataFrame:
-    words = docs.select(id_column, text.tokens(text_column).alias("_t")).select(
+    words = docs.select(id_column, F.sort_array(text.tokens(text_column)).alias("_t")).select(
         id_column, "_t", F.size("_t").alias("length")
     )
-    matches = (
-        words.select(id_column, "length", F.explode("_t").alias("term"))
-        .groupBy(id_column, "length", "term")
-        .agg(F.count("*").alias("tf"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
+    matches = words.select(id_column, "length", F.inline(text.term_counts("_t"))).join(
+        terms.select("term").distinct(), "term", "left_semi"
     )
     size = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     n, mean_length = size.select("n").scalar(), size.select("mean_length").scalar()
@@ -231,15 +227,13 @@ def _bm25_join(
 def keyword_extract(docs: DataFrame, id_column: str, text_column: str, n: int = 5) -> DataFrame:
     """Top words of each document by TF-IDF.
 
-    Words are counted per document in the map task. A word found in a third of
-    all documents has one row on the frequency side, so its partition can be
-    split by the adaptive skew join.
+    Words are counted within the row, without an exchange. A word found in a
+    third of all documents has one row on the frequency side, so the adaptive
+    skew join can split its partition.
     """
-    counts = (
-        docs.select(id_column, F.explode(text.tokens(text_column)).alias("term"))
-        .groupBy(id_column, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    counts = docs.select(
+        id_column, F.sort_array(text.tokens(text_column)).alias("_t")
+    ).select(id_column, F.inline(text.term_counts("_t")))
     total = docs.select(F.count("*")).scalar()
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     score = F.round(F.col("tf") * F.log((total + F.lit(1.0)) / (F.col("df") + 1.0)), 6)

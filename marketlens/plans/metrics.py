@@ -12,8 +12,13 @@ from .registry import query
 CUES = dim.CUES
 
 
+def _alternatives(terms: list[str]) -> str:
+    """The plain alternation, longest first: what the factored pattern must agree with."""
+    return r"\b(" + "|".join(sorted(set(terms), key=lambda t: (-len(t), t))) + r")\b"
+
+
 def _pattern(*groups: str) -> str:
-    return cue_ops.term_pattern(cue_ops.terms_of(CUES, *groups) if groups else [t for _, t, _ in CUES])
+    return _alternatives(cue_ops.terms_of(CUES, *groups))
 
 
 def _count_sql(*groups: str) -> str:
@@ -36,7 +41,7 @@ def _first_sql(pattern: str) -> str:
 
 
 def _hits_sql(cues: list, keep: str) -> str:
-    pattern = cue_ops.term_pattern([t for _, t, _ in cues])
+    pattern = _alternatives([t for _, t, _ in cues])
     values = dim.sql_values(cues, "vocabulary", "cue_group, term, weight")
     return f"""{values},
     hits as (

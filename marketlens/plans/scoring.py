@@ -33,9 +33,11 @@ long_scores as (
   {" union all ".join(f"select idea_id, {i} as area_ix, '{name}' as area, {key} as score from scored where status = 'ok'" for i, (name, key) in enumerate(dim.SCORE_KEYS))}),
 weak as (select * from long_scores where score < {THRESHOLD}),
 verdicts as (
-  select s.idea_id, coalesce(string_agg(w.area, '|' order by w.area_ix), '') as weak_areas,
-    case when count(w.area) = 0 then 'pass' else 'fail' end as verdict
-  from scored s left join weak w using (idea_id) where status = 'ok' group by s.idea_id)
+  select s.idea_id, case when any_value(status) = 'ok'
+      then coalesce(string_agg(w.area, '|' order by w.area_ix), '') end as weak_areas,
+    case when any_value(status) <> 'ok' then null
+      when count(w.area) = 0 then 'pass' else 'fail' end as verdict
+  from scored s left join weak w using (idea_id) group by s.idea_id)
 """
 
 
@@ -47,8 +49,9 @@ def flat_scores(df: DataFrame) -> list:
     return [F.col("scores")[name].alias(key) for name, key in dim.SCORE_KEYS]
 
 
-def good(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.assess(evaluations(spark, sf_dir).filter("status = 'ok'"), THRESHOLD)
+def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All evaluations; the unreadable ones have neither weak areas nor a verdict."""
+    return ops.assess(evaluations(spark, sf_dir), THRESHOLD)
 
 
 @query(
@@ -116,7 +119,7 @@ def filter_below_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses=("responses",),
 )
 def eval_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return good(spark, sf_dir).select(
+    return assessed(spark, sf_dir).select(
         "idea_id", F.array_join("weak_areas", "|").alias("weak_areas"), "verdict"
     )
 
@@ -124,11 +127,11 @@ def eval_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "eval_next",
     f"""with {EVAL_SQL} select idea_id, verdict,
-      case when verdict = 'pass' then 'continue' else 'revise' end as next from verdicts""",
+      case verdict when 'pass' then 'continue' when 'fail' then 'revise' end as next from verdicts""",
     uses=("responses",),
 )
 def eval_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return good(spark, sf_dir).select("idea_id", "verdict", ops.next_step("verdict").alias("next"))
+    return assessed(spark, sf_dir).select("idea_id", "verdict", ops.next_step("verdict").alias("next"))
 
 
 _SUGGESTIONS_SQL = dim.sql_values(
@@ -150,7 +153,7 @@ def suggest_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The one score name the suggestion table lists under another name.
     alias = {"relevance_score": "Relevance to FinTech"}
     known = dim.suggestions(spark)
-    plain = ops.suggest_fixes(good(spark, sf_dir), known, "idea_id")
+    plain = ops.suggest_fixes(assessed(spark, sf_dir), known, "idea_id")
     aliased = known.withColumnsRenamed({"area": "_area", "suggestions": "aliased"})
     target = F.col("area")
     for name, area in alias.items():
