@@ -6,7 +6,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip
+from .text import let, strip
 
 # A single left-to-right pass, so a comment inside a script (or the reverse) is
 # read the way a tokenizer reads it. An element left open runs to the end.
@@ -25,23 +25,33 @@ def unescape(c: Column) -> Column:
     def decode_hex(h: Column) -> Column:
         return F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")
 
+    def character(ref: Column) -> Column:
+        code = F.when(ref.rlike("^#[xX]"), F.upper(F.substr(ref, F.lit(3)))).when(
+            ref.startswith("#"), F.conv(F.substr(ref, F.lit(2)), 10, 16)
+        )
+        point = F.lpad(F.ltrim(code, F.lit("0")), 5, "0")
+        valid = (F.length(F.ltrim(code, F.lit("0"))) <= 5) & ~point.rlike("^(00000|0D[89A-F]..)$")
+        return F.when(code.isNotNull() & valid, decode_hex(point)).when(
+            code.isNull() & (ref != ""), named[ref]
+        )
+
     def piece(p: Column) -> Column:
         ref = F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);", 1)
-        code = F.when(
-            ref.rlike("^#[xX]"), F.upper(F.substr(ref, F.lit(3)))
-        ).when(ref.startswith("#"), F.conv(F.substr(ref, F.lit(2)), 10, 16))
-        in_range = (F.length(F.ltrim(code, F.lit("0"))) <= 5) & (F.ltrim(code, F.lit("0")) != "")
-        surrogate = F.lpad(F.ltrim(code, F.lit("0")), 4, "0").rlike("^D[89A-F]..$")
-        char = F.when(code.isNotNull() & in_range & ~surrogate, decode_hex(code)).when(
-            code.isNull() & (ref != ""), named[ref]
+        return let(
+            ref,
+            lambda r: F.coalesce(
+                F.concat(character(r), F.substr(p, F.length(r) + F.lit(2))),
+                F.concat(F.lit("&"), p),
+            ),
         )
-        rest = F.substr(p, F.length(ref) + F.lit(2))
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p))
 
     def decoded(text: Column) -> Column:
-        parts = F.split(text, "&")
-        tail = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece)
-        return F.concat(parts[0], F.array_join(tail, ""))
+        return let(
+            F.split(text, "&"),
+            lambda parts: F.array_join(
+                F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(piece(p))), ""
+            ),
+        )
 
     return F.when(c.contains("&"), decoded(c)).otherwise(c)
 

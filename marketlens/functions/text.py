@@ -26,6 +26,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing whitespace of any kind (``trim`` drops spaces only)."""
     return F.regexp_replace(_col(c), f"^{WS}+|{WS}+$", "")
@@ -156,21 +161,24 @@ def tokens(c: Column | str) -> Column:
 
 
 def term_counts(token_array: Column | str) -> Column:
-    """``array<struct<term, tf>>`` of a token array, counted within the row.
+    """``array<struct<term, tf>>`` of a sorted token array, counted within the row.
 
-    ``token_array`` must be a column, not an expression, or it would be computed
-    again for every element. Sorting brings equal tokens together; a count is
-    the distance between the starts of two runs.
+    Equal tokens stand together, so a count is the distance between the starts
+    of two runs. ``token_array`` must be a column, not an expression, or it would
+    be computed again for every element.
     """
     t = _col(token_array)
     starts = F.filter(
-        F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1))
+        F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)),
+        lambda i: i.isNotNull(),
     )
-    bounds = F.concat(starts, F.array(F.size(t)))
-    runs = F.zip_with(
-        bounds,
-        F.slice(bounds, F.lit(2), F.size(bounds)),
-        lambda a, b: F.struct(F.get(t, a).alias("term"), (b - a).cast("long").alias("tf")),
+    return let(
+        starts,
+        lambda s: F.transform(
+            s,
+            lambda a, j: F.struct(
+                F.get(t, a).alias("term"),
+                (F.coalesce(F.get(s, j + 1), F.size(t)) - a).cast("long").alias("tf"),
+            ),
+        ),
     )
-    complete = F.filter(runs, lambda r: r["tf"].isNotNull())
-    return F.when(F.size(t) > 0, complete)

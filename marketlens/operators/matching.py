@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
 from .leads import dedupe_leads
 from .metrics import MONEY_OR_PERCENT
 
 
 def _deletions(name: Column, edits: int) -> Column:
     """The name and everything left of it after deleting up to ``edits`` characters."""
+    def shorter(s: Column) -> Column:
+        cuts = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s)))
+        return F.coalesce(
+            F.transform(cuts, lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1))),
+            F.array().cast("array<string>"),
+        )
+
     forms = F.array(name)
     for _ in range(edits):
-        shorter = F.transform(
-            forms,
-            lambda s: F.transform(
-                F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(
-                    F.array().cast("array<int>")
-                ),
-                lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)),
-            ),
+        forms = let(
+            forms, lambda f: F.array_distinct(F.concat(f, F.flatten(F.transform(f, shorter))))
         )
-        forms = F.array_distinct(F.concat(forms, F.flatten(shorter)))
     return forms
 
 

@@ -182,7 +182,9 @@ def bm25(
         tf = F.size(F.filter("_m", lambda t: t == word))
         return F.struct(
             requests_of[word].alias("requests"),
-            _bm25_part(tf, F.col("length"), idf_of[word], mean_length).alias("part"),
+            text.let(
+                tf, lambda n: _bm25_part(n, F.col("length"), idf_of[word], mean_length)
+            ).alias("part"),
         )
 
     def total(request: Column) -> Column:
@@ -235,7 +237,11 @@ def keyword_extract(docs: DataFrame, id_column: str, text_column: str, n: int =
         id_column, F.sort_array(text.tokens(text_column)).alias("_t")
     ).select(id_column, F.inline(text.term_counts("_t")))
     total = docs.select(F.count("*")).scalar()
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    frequency = (
+        docs.select(F.explode(F.array_distinct(text.tokens(text_column))).alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("df"))
+    )
     score = F.round(F.col("tf") * F.log((total + F.lit(1.0)) / (F.col("df") + 1.0)), 6)
     order = Window.partitionBy(id_column).orderBy(F.desc("score"), "term")
     return (

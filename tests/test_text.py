@@ -104,3 +104,30 @@ def test_strip_and_clean_agree_with_python(spark, inputs):
         return re.sub(r"[^\w\s.,\-@:/]", "", squeezed) or None
 
     assert values(spark, text.clean_str, plain) == [clean(s) for s in plain]
+
+
+def test_term_counts(spark):
+    from collections import Counter
+
+    rows = [(i, t.split()) for i, t in enumerate(["b a b c b", "", "x", "a a a"])]
+    df = spark.createDataFrame(rows, "i int, t array<string>").select("i", F.sort_array("t").alias("t"))
+    got = {r[0]: {p["term"]: p["tf"] for p in r[1]} for r in df.select("i", text.term_counts("t")).collect()}
+    assert got == {i: dict(Counter(t)) for i, t in rows}
+
+
+def test_factored_pattern_equals_plain_alternation(spark):
+    import random
+    import re
+
+    from marketlens.operators.cues import matches, term_pattern
+    from marketlens.plans.dimensions import CUES
+
+    terms = [t for _, t, _ in CUES] + ["brand new", "brand new car", "a", "a+b", "car"]
+    rnd = random.Random(3)
+    words = [w for t in terms for w in t.split()] + ["brands", "xa", "new", "a-b", "carbon"]
+    lines = [" ".join(rnd.choices(words, k=12)) for _ in range(200)]
+    plain = re.compile(r"\b(" + "|".join(map(re.escape, sorted(set(terms), key=lambda t: -len(t)))) + r")\b")
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, v string")
+    got = [r[1] for r in df.select("i", matches("v", terms)).orderBy("i").collect()]
+    assert got == [plain.findall(x) for x in lines]
+    assert re.compile(term_pattern(terms)).findall(lines[0]) == plain.findall(lines[0])
