@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,9 @@ def query(name: str, oracle: str | None = None, uses: tuple[str, ...] = ()):
             ctes = ",\n".join(derived_as_cte(u) for u in derived_tables)
             body = oracle.strip()
             if ctes:
-                body = f"with {ctes}" + (
-                    ",\n" + body[len("with "):] if body.lower().startswith("with ") else "\n" + body
-                )
+                head = re.match(r"with( recursive)?\s+", body)
+                rest = f",\n{body[head.end():]}" if head else f"\n{body}"
+                body = f"with{head[1] or '' if head else ''} {ctes}{rest}"
             ORACLES[name] = body
         return fn
 

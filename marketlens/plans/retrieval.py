@@ -32,7 +32,73 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_windows(docs, "text")
 
 
-@query("chunk_paragraphs")
+# Every character position knows whether a chunk may be cut before it; windows then
+# follow from one position to the next, packs from one paragraph to the next.
+_PARAGRAPHS_SQL = f"""with recursive
+pieces as (
+  select doc_id, unnest(p) as piece, unnest(range(len(p))) as i
+  from (select doc_id, string_split(text, chr(10) || chr(10)) as p from paragraph_docs)),
+placed as (
+  select doc_id, i, length(piece) + case when i = 0 then 0 else 2 end as n, sum(length(piece) +
+    case when i = 0 then 0 else 2 end) over (partition by doc_id order by i) as e from pieces),
+spans as (
+  select doc_id, i, e - n as s, e, i - row_number() over (
+    partition by doc_id, n < 1000 order by i) as run, n < 1000 as short from placed where n > 0),
+packs as (
+  select doc_id, run, min(i) as first, 0 as step from spans where short group by doc_id, run
+  union all
+  select c.doc_id, c.run, min(n.i) as first, c.step + 1 from (
+    select p.doc_id, p.run, p.first, p.step, max(l.i) as last, max(l.e) as done
+    from packs p join spans f on f.doc_id = p.doc_id and f.short and f.run = p.run and f.i = p.first
+    join spans l on l.doc_id = p.doc_id and l.short and l.run = p.run and l.i >= p.first
+      and l.e - f.s <= 1000
+    group by all) as c
+  join spans d on d.doc_id = c.doc_id and d.short and d.run = c.run and d.i = c.last + 1
+  join spans n on n.doc_id = c.doc_id and n.short and n.run = c.run and n.i > c.first
+    and c.done - n.s <= 200 and d.e - n.s <= 1000
+  group by c.doc_id, c.run, c.step),
+packed as (
+  select p.doc_id, f.s as pos, max(l.e) as stop
+  from packs p join spans f on f.doc_id = p.doc_id and f.short and f.run = p.run and f.i = p.first
+  join spans l on l.doc_id = p.doc_id and l.short and l.run = p.run and l.i >= p.first
+    and l.e - f.s <= 1000
+  group by p.doc_id, f.s),
+places as (
+  select s.doc_id, s.i, s.s, s.e, unnest(range(s.s::bigint, s.e::bigint + 1)) as p, unnest(
+    list_append(string_split(substring(text, s.s::bigint + 1, (s.e - s.s)::bigint), ''), '')) as ch
+  from spans s join paragraph_docs using (doc_id) where not short),
+cuts as (
+  select doc_id, i, p, s, e, case when p in (s, e) or ch <> chr(10)
+    then p end as cut from places),
+known as (
+  select doc_id, i, p, s, e, cut,
+    min(cut) over (partition by doc_id, i order by p rows between current row and unbounded following) as up,
+    min(cut) over (partition by doc_id, i order by p rows between 1 following and unbounded following) as following,
+    max(cut) over (partition by doc_id, i order by p rows between current row and 1000 following) as stop
+  from cuts),
+moves as (
+  select a.doc_id, a.i, a.p as pos, a.stop, t.up as next
+  from known a join known b on b.doc_id = a.doc_id and b.i = a.i and b.p = a.stop
+  left join known t on t.doc_id = a.doc_id and t.i = a.i
+    and t.p = greatest(a.stop - 200, b.following - 1000, a.p + 1) and a.stop < a.e
+  where a.cut is not null),
+windows as (
+  select doc_id, i, pos, stop, next from moves where pos = (
+    select s from spans where spans.doc_id = moves.doc_id and spans.i = moves.i)
+  union all
+  select m.doc_id, m.i, m.pos, m.stop, m.next from windows w join moves m
+    on m.doc_id = w.doc_id and m.i = w.i and m.pos = w.next),
+bounds as (
+  select doc_id, pos, stop from packed union all select doc_id, pos, stop from windows),
+chunks as (
+  select doc_id, pos, {q.strip('substring(text, pos::bigint + 1, (stop - pos)::bigint)')} as chunk_text
+  from bounds join paragraph_docs using (doc_id))
+select doc_id, chunk_text, cast(row_number() over (
+  partition by doc_id order by pos) - 1 as integer) as chunk_ix from chunks where chunk_text <> ''
+"""
+
+
+@query("chunk_paragraphs", _PARAGRAPHS_SQL, uses=("paragraph_docs",))
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_paragraphs(derived(spark, sf_dir, "paragraph_docs"), "doc_id", "text")
 
