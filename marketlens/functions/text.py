@@ -158,27 +158,3 @@ def search_query_text(force: Column | str, keywords: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD), F.lit(0))
-
-
-def term_counts(token_array: Column | str) -> Column:
-    """``array<struct<term, tf>>`` of a sorted token array, counted within the row.
-
-    Equal tokens stand together, so a count is the distance between the starts
-    of two runs. ``token_array`` must be a column, not an expression, or it would
-    be computed again for every element.
-    """
-    t = _col(token_array)
-    starts = F.filter(
-        F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)),
-        lambda i: i.isNotNull(),
-    )
-    return let(
-        starts,
-        lambda s: F.transform(
-            s,
-            lambda a, j: F.struct(
-                F.get(t, a).alias("term"),
-                (F.coalesce(F.get(s, j + 1), F.size(t)) - a).cast("long").alias("tf"),
-            ),
-        ),
-    )

@@ -17,8 +17,8 @@ MAX_TERMS = 2000
 def term_pattern(terms: Iterable[str]) -> str:
     """Any of the terms as whole words, the longer of two where both fit.
 
-    Shared beginnings are written once, so a word that starts no term is given
-    up at its first letter instead of being held against every term.
+    Shared beginnings are written once and first letters are looked at before
+    word boundaries, so text that starts no term is passed over in one step.
     """
     distinct = set(terms)
     if len(distinct) > MAX_TERMS:
@@ -37,7 +37,8 @@ def term_pattern(terms: Iterable[str]) -> str:
         body = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
         return body + "?" if "" in node else body
 
-    return rf"\b({write(tree)})\b"
+    first = "".join(re.escape(c) for c in sorted(tree))
+    return rf"(?=[{first}])\b({write(tree)})\b"
 
 
 def matches(text: Column | str, terms: Iterable[str]) -> Column:

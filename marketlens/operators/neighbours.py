@@ -45,6 +45,8 @@ class _Best:
         self.found: list[tuple[np.ndarray, np.ndarray]] = [
             (np.empty(0), np.empty(0, np.int64)) for _ in query_ids
         ]
+        # Distance to beat, per query: infinite until k neighbours are known.
+        self.limits = np.full(len(query_ids), np.inf)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         if len(ids) == 0 or len(self.query_ids) == 0:
@@ -52,24 +54,27 @@ class _Best:
         step = max(1, _CELLS_PER_STEP // len(ids))
         for low in range(0, len(self.query_ids), step):
             block = squared_distances(self.queries[low : low + step], vectors)
-            for i, row in enumerate(block, start=low):
-                self._merge(i, row, ids)
+            promising = block.min(axis=1) <= self.limits[low : low + step]
+            for i in np.flatnonzero(promising):
+                self._merge(low + i, block[i], ids)
 
     def _merge(self, i: int, distances: np.ndarray, ids: np.ndarray) -> None:
         if self.skip_self:
             other = ids != self.query_ids[i]
             distances, ids = distances[other], ids[other]
-        best, best_ids = self.found[i]
-        limit = best[-1] if len(best) == self.k else np.inf
+        limit = self.limits[i]
         if len(distances) > self.k:
             limit = min(limit, np.partition(distances, self.k - 1)[self.k - 1])
         near = distances <= limit
         if not near.any():
             return
+        best, best_ids = self.found[i]
         distances = np.concatenate([best, distances[near]])
         ids = np.concatenate([best_ids, ids[near]])
         order = np.lexsort((ids, distances))[: self.k]
         self.found[i] = (distances[order], ids[order])
+        if len(order) == self.k:
+            self.limits[i] = distances[order[-1]]
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts = [len(d) for d, _ in self.found]

@@ -119,6 +119,12 @@ def _idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
+def _documents() -> Column:
+    """Number of rows, counted through ``tf``: a plain count would drop that column and
+    with it the likeness that lets Spark reuse the exchange of the counts."""
+    return F.sum(F.least("tf", F.lit(1)))
+
+
 def _best_hits(scored: DataFrame, id_column: str, limit: int) -> DataFrame:
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), id_column)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
@@ -205,15 +211,18 @@ def bm25(
 def _bm25_join(
     docs: DataFrame, terms: DataFrame, id_column: str, text_column: str, limit: int
 ) -> DataFrame:
-    words = docs.select(id_column, F.sort_array(text.tokens(text_column)).alias("_t")).select(
+    words = docs.select(id_column, text.tokens(text_column).alias("_t")).select(
         id_column, "_t", F.size("_t").alias("length")
     )
-    matches = words.select(id_column, "length", F.inline(text.term_counts("_t"))).join(
-        terms.select("term").distinct(), "term", "left_semi"
+    matches = (
+        words.select(id_column, "length", F.explode("_t").alias("term"))
+        .groupBy(id_column, "length", "term")
+        .agg(F.count("*").alias("tf"))
+        .join(terms.select("term").distinct(), "term", "left_semi")
     )
     size = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     n, mean_length = size.select("n").scalar(), size.select("mean_length").scalar()
-    frequency = matches.groupBy("term").agg(F.count("*").alias("df"))
+    frequency = matches.groupBy("term").agg(_documents().alias("df"))
     weighted = terms.join(frequency, "term").select(
         "request_id", "term", _idf(n, F.col("df")).alias("idf")
     )
@@ -229,19 +238,19 @@ def _bm25_join(
 def keyword_extract(docs: DataFrame, id_column: str, text_column: str, n: int = 5) -> DataFrame:
     """Top words of each document by TF-IDF.
 
-    Words are counted within the row, without an exchange. A word found in a
-    third of all documents has one row on the frequency side, so the adaptive
-    skew join can split its partition.
+    Splitting text into words is the dear part, so it happens once: both the
+    frequencies and the scores read the exchange of per-document counts, which
+    the map tasks have already combined. A word found in a third of all
+    documents has one row on the frequency side, so the adaptive skew join can
+    split its partition.
     """
-    counts = docs.select(
-        id_column, F.sort_array(text.tokens(text_column)).alias("_t")
-    ).select(id_column, F.inline(text.term_counts("_t")))
-    total = docs.select(F.count("*")).scalar()
-    frequency = (
-        docs.select(F.explode(F.array_distinct(text.tokens(text_column))).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
+    counts = (
+        docs.select(id_column, F.explode(text.tokens(text_column)).alias("term"))
+        .groupBy(id_column, "term")
+        .agg(F.count("*").alias("tf"))
     )
+    total = docs.select(F.count("*")).scalar()
+    frequency = counts.groupBy("term").agg(_documents().alias("df"))
     score = F.round(F.col("tf") * F.log((total + F.lit(1.0)) / (F.col("df") + 1.0)), 6)
     order = Window.partitionBy(id_column).orderBy(F.desc("score"), "term")
     return (

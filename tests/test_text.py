@@ -106,15 +106,6 @@ def test_strip_and_clean_agree_with_python(spark, inputs):
     assert values(spark, text.clean_str, plain) == [clean(s) for s in plain]
 
 
-def test_term_counts(spark):
-    from collections import Counter
-
-    rows = [(i, t.split()) for i, t in enumerate(["b a b c b", "", "x", "a a a"])]
-    df = spark.createDataFrame(rows, "i int, t array<string>").select("i", F.sort_array("t").alias("t"))
-    got = {r[0]: {p["term"]: p["tf"] for p in r[1]} for r in df.select("i", text.term_counts("t")).collect()}
-    assert got == {i: dict(Counter(t)) for i, t in rows}
-
-
 def test_factored_pattern_equals_plain_alternation(spark):
     import random
     import re
