@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import let
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -20,11 +22,15 @@ def norm(v: Column | str) -> Column:
     )
 
 
-def l2_normalize(v: Column | str, norm_column: Column | None = None) -> Column:
+def l2_normalize(v: Column | str) -> Column:
     """Unit vector; a zero vector has no direction and stays zero."""
-    length = norm_column if norm_column is not None else norm(v)
-    divisor = F.when(length == 0, F.lit(1.0)).otherwise(length)
-    return F.transform(_col(v), lambda x: x.cast("double") / divisor)
+    vector = _col(v)
+    return let(
+        norm(vector),
+        lambda n: F.transform(
+            vector, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n)
+        ),
+    )
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

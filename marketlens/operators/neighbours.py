@@ -107,9 +107,15 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
 
 
 def _vectors(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    return df.select(
-        F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")
-    ).filter("v is not null")
+    return df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v"))
+
+
+def _present(rows):
+    """Rows of a batch or table that have a vector.
+
+    Spark would compute a derived vector once more to filter on it.
+    """
+    return rows if rows.column("v").null_count == 0 else rows.filter(rows.column("v").is_valid())
 
 
 def bounded_queries(q: DataFrame, values: int = BROADCAST_VALUES) -> pa.Table | None:
@@ -117,11 +123,11 @@ def bounded_queries(q: DataFrame, values: int = BROADCAST_VALUES) -> pa.Table |
 
     One row more than the bound is the most that is ever fetched.
     """
-    head = q.limit(1).collect()
+    head = q.filter("v is not null").limit(1).collect()
     width = len(head[0]["v"]) if head else 1
     bound = max(1, values // max(1, width))
     few = q.limit(bound + 1).toArrow()
-    return few if few.num_rows <= bound else None
+    return _present(few) if few.num_rows <= bound else None
 
 
 def nearest(
@@ -153,7 +159,7 @@ def nearest(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(*payload.value, k, skip_self)
-        for batch in batches:
+        for batch in map(_present, batches):
             best.add(batch.column(0).to_numpy(), _matrix(batch.column(1)))
         yield _hits(pa.RecordBatch.from_arrays, best)
 
@@ -165,7 +171,7 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_present, batches):
             if batch.num_rows == 0:
                 continue
             d = squared_distances(_matrix(batch.column(1)), shared.value)
@@ -220,6 +226,7 @@ def block_join(
     wanted = int(min(MAX_PIVOTS, max(1, -(-total // block_rows))))
     # Pivots are the ids with the smallest hash: spread out, and the same on every run.
     chosen = c.orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow()
+    chosen = _present(chosen)
     if chosen.num_rows == 0:
         return spark.createDataFrame([], _HITS + ", rank int")
     pivots = _matrix(chosen.column("v"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,14 +18,12 @@ MAX_RESULTS = 50
 
 def embed_hash(df: DataFrame, text_column: str, size: int = EMBEDDING_SIZE) -> DataFrame:
     """Unit vector of hashed word counts; the same text always gives the same vector."""
-    hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(
-        df.withColumn("_words", text.tokens(text_column))
+    words = df.withColumn("_words", text.tokens(text_column))
+    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(words)
+    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counts)
+    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
+        "_words", "_tf", "_unit"
     )
-    counts = hashed.withColumn("_tf", vector_to_array("_tf")).withColumn("_norm", vectors.norm("_tf"))
-    unit = F.transform(
-        vectors.l2_normalize("_tf", F.col("_norm")), lambda x: x.cast("float")
-    )
-    return counts.withColumn("embedding", unit).drop("_words", "_tf", "_norm")
 
 
 def mean_vectors(items: DataFrame, label_column: str, vector_column: str) -> DataFrame:

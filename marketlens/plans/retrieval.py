@@ -119,10 +119,8 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parts join norms using (vec_id) group by vec_id""",
 )
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    unit = (
-        table(spark, sf_dir, "embeddings")
-        .withColumn("norm", vectors.norm("embedding"))
-        .select("vec_id", vectors.l2_normalize("embedding", F.col("norm")).alias("u"))
+    unit = table(spark, sf_dir, "embeddings").select(
+        "vec_id", vectors.l2_normalize("embedding").alias("u")
     )
     weighted = F.aggregate(
         F.transform("u", lambda x, i: x * i), F.lit(0.0), lambda acc, x: acc + x
@@ -216,9 +214,7 @@ ranked as (
 )
 def recommend_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "embeddings")
-    unit = items.withColumn("_norm", vectors.norm("embedding")).select(
-        "vec_id", vectors.l2_normalize("embedding", F.col("_norm")).alias("embedding")
-    )
+    unit = items.select("vec_id", vectors.l2_normalize("embedding").alias("embedding"))
     hits = neighbours.nearest(
         unit, unit, query_columns=("vec_id", "embedding"), skip_self=True
     )

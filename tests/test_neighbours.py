@@ -56,6 +56,16 @@ def test_small_corpus_and_no_queries(spark):
         assert neighbours.nearest(asked, items.filter("false"), 4, **options).count() == 0
 
 
+def test_rows_without_a_vector_are_no_neighbours(spark):
+    schema = "vec_id long, embedding array<float>"
+    items = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [1.0, 0.0])], schema)
+    for options in ({}, {"broadcast_values": 1}):
+        got = neighbours.nearest(
+            items, items, 4, query_columns=("vec_id", "embedding"), skip_self=True, **options
+        )
+        assert ranked(got) == {1: [3], 3: [1]}
+
+
 def test_no_row_pairs_in_the_plan(spark, plan_of):
     items = table(spark, enumerate(corpus_rows()))
     plan = plan_of(neighbours.nearest(items, items, query_columns=("vec_id", "embedding")))
