@@ -16,14 +16,17 @@ DEFAULT_HIT_TITLE = "Tavily Result"
 
 
 def extract_pages(fetches: DataFrame) -> DataFrame:
-    """Visible text of each fetched page, cut to size; a failed fetch keeps its error as text."""
+    """Visible text of each fetched page, cut to size; a failed fetch keeps its error as text.
+
+    ``status`` comes from the error, so filtering on it does not extract the text twice.
+    """
     failed = F.concat(F.lit(text.FAILURE_PREFIX), F.col("error"))
     content = F.when(F.col("error").isNotNull(), failed).otherwise(
         text.truncate(html.html_to_text("html"))
     )
     return (
         fetches.withColumn("raw_content", content)
-        .withColumn("status", text.extract_status("raw_content"))
+        .withColumn("status", F.when(F.col("error").isNotNull(), "failed").otherwise("ok"))
         .drop("html", "error")
     )
 

@@ -96,8 +96,8 @@ def test_strip_and_clean_agree_with_python(spark, inputs):
 
     inputs = [s.replace("\x00", "").encode("utf-8", "ignore").decode() for s in inputs]
     assert values(spark, text.strip, inputs) == [s.strip() for s in inputs]
-    # Letters, digits, marks and symbols of plain scripts only: \w differs beyond them.
-    plain = ["".join(c for c in s if c.isascii() or c.isalpha()) for s in inputs]
+    # Latin only: which newer characters count as letters depends on each runtime's Unicode.
+    plain = ["".join(c for c in s if ord(c) < 0x250) for s in inputs]
 
     def clean(s):
         squeezed = re.sub(r"\s+", " ", s).strip()
