@@ -163,6 +163,21 @@ def tag_entities(
     )
 
 
+def attach_entities(leads: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Cleaned leads with ``entities``: NULL without a job title, empty lists without a match."""
+    tagged = tag_entities(leads, "job_title", gazetteer, "id")
+    lists = ("persons", "organizations", "locations", "misc")
+    kinds = {c: tagged.schema[c].dataType for c in lists}
+    entities = F.struct(
+        *[F.coalesce(F.col(c), F.array().cast(kinds[c])).alias(c) for c in lists]
+    )
+    return (
+        leads.join(tagged, "id", "left")
+        .withColumn("entities", F.when(F.col("job_title").isNotNull(), entities))
+        .drop(*lists)
+    )
+
+
 def dedupe_content(docs: DataFrame, text_column: str, id_column: str) -> DataFrame:
     """One kept id per distinct content, with the number of copies.
 

@@ -159,9 +159,7 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.union(nations).union(regions)
 
 
-@query(
-    "entity_tag",
-    f"""with {CLEAN_SQL},
+ENTITY_HITS_SQL = f"""
     gazetteer as (
       select n_name as surface, 'GPE' as label from nation
       union select r_name, 'GPE' from region
@@ -172,6 +170,12 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
       select ordinal, pos, n, array_to_string(t[pos:pos + n - 1], ' ') as surface
       from starts, (values (1), (2), (3)) as sizes(n) where pos + n - 1 <= len(t)),
     hits as (select * from grams join gazetteer using (surface))
+"""
+
+
+@query(
+    "entity_tag",
+    f"""with {CLEAN_SQL}, {ENTITY_HITS_SQL}
     select ordinal,
       coalesce(string_agg(surface, '|' order by pos, n) filter (label = 'PERSON'), '') as persons,
       coalesce(string_agg(surface, '|' order by pos, n) filter (label = 'ORG'), '') as organizations,
@@ -196,6 +200,35 @@ def entity_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "leads_with_entities",
+    f"""with {CLEAN_SQL}, {ENTITY_HITS_SQL},
+    counts as (
+      select ordinal, count(*) filter (label = 'ORG') as orgs,
+        count(*) filter (label = 'GPE') as places, count(*) as found
+      from hits group by ordinal)
+    select ordinal, job_title is not null as has_entities,
+      case when job_title is not null then coalesce(orgs, 0) end::integer as organizations,
+      case when job_title is not null then coalesce(places, 0) end::integer as locations,
+      case when job_title is not null then coalesce(found - orgs - places, 0) end::integer as others
+    from clean left join counts using (ordinal)""",
+    uses=("raw_leads",),
+)
+def leads_with_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = ops.clean_leads(raw_leads(spark, sf_dir), timestamp=False)
+    leads = ops.attach_entities(cleaned, gazetteer(spark, sf_dir))
+    n = {c: F.when(F.col("entities").isNotNull(), F.size(f"entities.{c}")) for c in (
+        "persons", "organizations", "locations", "misc"
+    )}
+    return leads.select(
+        "ordinal",
+        F.col("entities").isNotNull().alias("has_entities"),
+        n["organizations"].alias("organizations"),
+        n["locations"].alias("locations"),
+        (n["persons"] + n["misc"]).alias("others"),
+    )
+
+
 @query(
     "dedupe_content",
     f"""select sha256(lower(trim(regexp_replace(text, '{q.WS}+', ' ', 'g')))) as content_hash,
