@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 # Whitespace as Python's ``str.strip`` and ``re`` see it. Java's and RE2's bare
 # ``\s`` are ASCII only.
 WS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+# The same characters one by one, for trimming without a regular expression.
+WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # Patterns and enrichment constants that decide results.
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -33,7 +35,7 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing whitespace of any kind (``trim`` drops spaces only)."""
-    return F.regexp_replace(_col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def blank_to_null(c: Column) -> Column:
