@@ -1,6 +1,6 @@
 """Every query of this subpackage, registered on import."""
 
-from . import q_chat, q_mixing, q_outliers, q_packing, q_quality, q_secrets
+from . import q_chat, q_jaccard, q_mixing, q_outliers, q_packing, q_quality, q_secrets
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
