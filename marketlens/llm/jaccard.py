@@ -61,7 +61,7 @@ def digest(grams: np.ndarray) -> bytes:
 def _sets_and_counts(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
-        names = ["doc_id", "n", "class", "block", "counts"]
+        names = ["doc_id", "version", "n", "class", "block", "counts"]
         for batch in batches:
             for part in slices(batch, "text"):
                 sizes, classes = [], []
@@ -71,14 +71,14 @@ def _sets_and_counts(n: int):
                     classes.append(digest(grams) if len(grams) else None)
                 rows = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                    [part.column("doc_id"), part.column("version"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                     names=names,
                 )
         filled = [b for b in range(CELLS // BLOCK) if cells[b * BLOCK : (b + 1) * BLOCK].any()]
         if filled:
             count = len(filled)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64()), pa.nulls(count, pa.binary()), pa.array(filled, pa.int32()),
+                [*[pa.nulls(count, pa.int64())] * 3, pa.nulls(count, pa.binary()), pa.array(filled, pa.int32()),
                  pa.array([cells[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in filled], pa.binary())],
                 names=names,
             )
@@ -221,7 +221,6 @@ def _with_components(buckets: DataFrame, links: DataFrame) -> DataFrame:
 
 def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int, cells) -> DataFrame:
     """Links (a, b) between classes that join everything the similarity joins."""
-    spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
     heads = texts.select("text").mapInArrow(_prefixes(n, percent, cells), "gram long, class binary, n int, place int")
     ordered = heads.repartition(F.col("gram")).sortWithinPartitions("gram", "class")
@@ -280,6 +279,24 @@ def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int,
     return materialise(links.unionByName(_verified(possible.select("a", "b", "na", "nb"), fragments, percent)), "jaccard-links")
 
 
+def grouped(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, version, n, label): the group of every document, null for texts without words.
+
+    ``version`` is a hash of the text and tells rows with one id apart.
+    """
+    chosen = documents.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    ).withColumn("version", F.xxhash64("text"))
+    counted = materialise(
+        chosen.mapInArrow(_sets_and_counts(n), "doc_id long, version long, n long, class binary, block int, counts binary"), "jaccard-sets"
+    )
+    cells = documents.sparkSession.sparkContext.broadcast(_sketch(counted))
+    members = counted.where("block is null").select("doc_id", "version", "n", "class")
+    classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    labels = components(_class_links(chosen, classes, n, percent, cells)).withColumnRenamed("node", "class")
+    return members.join(labels, "class", "left").select("doc_id", "version", "n", F.coalesce("label", "class").alias("label"))
+
+
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per document.
 
@@ -288,19 +305,25 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     have no n-grams and stand alone. Repeated rows are documents of their own; documents
     without an id link but lend no id.
     """
-    spark = documents.sparkSession
-    chosen = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counted = materialise(
-        chosen.mapInArrow(_sets_and_counts(n), "doc_id long, n long, class binary, block int, counts binary"), "jaccard-sets"
-    )
-    cells = spark.sparkContext.broadcast(_sketch(counted))
-    members = counted.where("block is null").select("doc_id", "n", "class")
-    classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    links = _class_links(chosen, classes, n, percent, cells)
-    labels = components(links)
-    groups = classes.join(labels, classes["class"] == labels["node"], "left").select("class", "doc_id", F.coalesce("label", "class").alias("label"))
-    least = groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(least, "label").select("class", "component_id")
-    return members.join(named, "class", "left").select(
+    members = materialise(grouped(documents, doc_id, text, n, percent), "jaccard-groups")
+    least = members.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return members.join(least, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_per_group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns, less all but the least (id, text) of every group.
+
+    Documents without words stay; of rows equal in id and text one stays.
+    """
+    members = materialise(grouped(documents, doc_id, text, n, percent), "jaccard-groups")
+    kept = (
+        members.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "version")).alias("k")).select("k.*")
+        .unionByName(members.where("label is null").select("doc_id", "version").distinct())
+    )
+    keyed = documents.select(
+        F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("v")
+    )
+    met = keyed.join(kept, keyed["d"].eqNullSafe(kept["doc_id"]) & (keyed["v"] == kept["version"]), "left_semi")
+    return met.dropDuplicates(["d", "v"]).select("row.*")

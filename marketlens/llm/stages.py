@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import scratch_path
+from .jaccard import one_per_group
 from .mixing import mix
+from .outliers import judge
+from .packing import pack
+from .secrets import redacted, update_ledger, with_findings
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither fail the base rules nor lie far out in their language and source."""
+    return judge(docs).where("kept").select("row.*")
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies (five-word shingles, similarity 0.8)."""
+    return one_per_group(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every secret found replaced by its kind; lengths follow the text."""
+    ledger = update_ledger(docs, scratch_path(spark, "secret-ledger"))
+    found = with_findings(docs, ledger)
+    clean = found.select("row", redacted(F.col("row.text"), F.col("spans")).alias("text"))
+    columns = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return clean.select(*[columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources."""
     return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, neighbours together."""
+    return pack(docs)
