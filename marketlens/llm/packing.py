@@ -13,7 +13,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,11 @@ SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 8
 K1, B = 1.2, 0.75
 # Words of which a task remembers the ids; two generations of this size are kept.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 450_000
 
-# A word of Latin letters and then ASCII marks: its ids are those of both parts, and case goes.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+# A word of Latin letters and then these marks: its ids are those of both parts, and case goes.
+_MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordIds:
@@ -49,33 +52,35 @@ class WordIds:
 
     def _encode(self, words: list[str]) -> None:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.new[word] = np.array(found.ids, np.uint16).tobytes()
+            self.new[word] = array("H", found.ids).tobytes()
 
-    def _known(self, word: str) -> bool:
-        if word in self.new:
-            return True
-        if (found := self.old.get(word)) is not None:
-            self.new[word] = found
-            return True
-        return False
+    def _absent(self, words: set[str]) -> set[str]:
+        """Words to encode; those of the old generation move to the new one."""
+        absent = words.difference(self.new)
+        old = self.old
+        for word in absent.intersection(old):
+            self.new[word] = old[word]
+        return absent.difference(old)
 
     def texts(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        missing = {w for words in split for w in words if w not in self.new}
-        missing = {w for w in missing if not self._known(w)}
-        parts, odd = {}, set()
-        for w in missing:
-            if m := _SIMPLE.fullmatch(w):
-                parts[w] = (m[1].lower(), m[2])
+        words, cores, marks, odd, latin = [], [], [], set(), _LATIN.fullmatch
+        for word in self._absent(set(chain.from_iterable(split))):
+            core = word.rstrip(_MARKS)
+            if (core.isascii() and core.isalpha()) or latin(core):
+                words.append(word)
+                cores.append(core.lower())
+                marks.append(word[len(core) :])
             else:
-                odd.add(w)
-        cores = {p for pair in parts.values() for p in pair if p}
-        self._encode(sorted(odd | {p for p in cores if not self._known(p)}))
-        for w, (core, marks) in parts.items():
-            self.new[w] = self.new[core] + (self.new[marks] if marks else b"")
-        out = [b"".join(map(self.new.__getitem__, words)) for words in split]
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
+                odd.add(word)
+        self._encode(sorted(odd | self._absent({*cores, *marks})))
+        new = self.new
+        for word, core, mark in zip(words, cores, marks, strict=True):
+            new[word] = new[core] + new[mark]
+        ids = new.__getitem__
+        out = [b"".join(map(ids, words)) for words in split]
+        if len(new) > CACHE_WORDS:
+            self.old, self.new = new, {}
         return out
 
 
@@ -92,12 +97,24 @@ def word_ids(path: str | None) -> WordIds:
     return _WORD_IDS[path]
 
 
-def _lexical_key(ids: np.ndarray) -> int:
-    """Least hash of three consecutive ids (fewer, for short texts)."""
-    x = ids.astype(np.uint64)
-    if len(x) >= 3:
-        x = (x[:-2] << np.uint64(32)) | (x[1:-1] << np.uint64(16)) | x[2:]
-    return int(signed(mix64(x).min(keepdims=True))[0])
+def _lexical_keys(ids: list[bytes]) -> np.ndarray:
+    """Per text the least hash of three consecutive ids; of what there is, for shorter texts."""
+    flat = np.frombuffer(b"".join(ids), np.uint16).astype(np.uint64)
+    ends = np.cumsum([len(b) // 2 for b in ids])
+    x = flat.copy()
+    x[1:] |= flat[:-1] << np.uint64(16)
+    x[2:] |= flat[:-2] << np.uint64(32)
+    h = mix64(x)
+    lengths = np.diff(ends, prepend=0)
+    starts = ends - lengths
+    for k in (0, 1):  # threes that reach into the text before do not count
+        at = starts[lengths > 2] + k
+        h[at] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    short = starts[lengths <= 2]
+    h[short] = mix64(flat[short])
+    for at in starts[lengths == 2] + 1:
+        h[at] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return signed(np.minimum.reduceat(h, starts))
 
 
 def tokenized(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -109,9 +126,8 @@ def tokenized(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             for part in slices(batch, "text", 1 << 22):
                 ids = [b + end for b in words.texts(part.column("text").to_pylist())]
-                keys = [_lexical_key(np.frombuffer(b, np.uint16)) for b in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())],
+                    [part.column("doc_id"), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(_lexical_keys(ids)), pa.array(ids, pa.binary())],
                     names=["doc_id", "n", "key", "ids"],
                 )
 
