@@ -25,7 +25,6 @@ WINDOW = 50
 GRAM = 8
 # Symbols of one index; minimizers with more are indexed in parts, every two parts together.
 INDEX_WORDS = 1_000_000
-LOOKUP_ROWS = 300_000
 _P = [np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
 SEGMENT = "minimizer long, segment binary, doc_id long, version long, start int, windows int"
 
@@ -244,8 +243,7 @@ def drop_repeats(
         holders.groupBy("h.doc_id", "h.version").agg(F.collect_list(F.struct("h.minimizer", "segment", "h.start", "h.windows")).alias("wanted")),
         "substring-wanted",
     )
-    asked = F.broadcast(wanted) if wanted.limit(LOOKUP_ROWS // 10 + 1).count() <= LOOKUP_ROWS // 10 else wanted
-    contents = docs.join(asked, ["doc_id", "version"]).select("doc_id", "text", "wanted")
+    contents = docs.join(wanted, ["doc_id", "version"]).select("doc_id", "text", "wanted")
     words = contents.mapInArrow(_contents(window), "minimizer long, segment binary, doc_id long, words binary").dropDuplicates(["segment"])
     found = (
         words.repartition(F.col("minimizer")).sortWithinPartitions("minimizer", "segment")
