@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared scratch folder and read back: lineage ends, nothing is lost with an executor."""
-    path = scratch_path(df.sparkSession, label)
+    spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    # shuffle files go once the collectors of both sides have seen that nothing reads them
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -18,12 +18,13 @@ rest are counted in full. So no link between components is missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Words, gram_hashes, materialise, mix64, signed, slices
+from .common import Words, gram_hashes, materialise, mix64, signed, slices, small
 from .components import components
 
 CELLS = 1 << 20
@@ -190,7 +191,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
             for x, y in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True)
         ]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "na", "nb")] + [pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "overlap"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "na", "nb", "fragment")] + [pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "fragment", "overlap"])
 
 
 def similar_enough(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -198,15 +199,38 @@ def similar_enough(overlap: Column, na: Column, nb: Column, percent: int) -> Col
 
 
 def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b, na, nb) that reach the threshold: overlaps per fragment, summed per pair."""
-    one = fragments.select(F.col("class").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-    two = fragments.select(F.col("class").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", "grams_a", "grams_b")
-    counted = partial.mapInArrow(_overlaps, "a binary, b binary, na int, nb int, overlap long")
-    summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    """The written pairs(a, b, na, nb) that reach the threshold: overlaps per fragment, summed per pair.
+
+    Only the sets of classes in the pairs move; one of them travels with each pair.
+    """
+
+    def side(name: str) -> DataFrame:
+        needed = small(pairs.select(F.col(name).alias("class")).distinct(), LOOKUP_ROWS)
+        met = fragments.join(needed, "class", "left_semi")
+        return met.select(F.col("class").alias(name), "fragment", F.col("grams").alias(f"grams_{name}"))
+
+    partial = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", "grams_a", "grams_b")
+    counted = partial.mapInArrow(_overlaps, "a binary, b binary, na int, nb int, fragment int, overlap long")
+    # a fragment counts once, also where a repeated row gave it twice
+    overlap = [F.coalesce(F.max(F.when(F.col("fragment") == f, F.col("overlap"))), F.lit(0)) for f in range(FRAGMENTS)]
+    summed = counted.groupBy("a", "b", "na", "nb").agg(reduce(lambda x, y: x + y, overlap).alias("overlap"))
     return summed.where(similar_enough(F.col("overlap"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
+def _plausible(met: DataFrame, percent: int) -> DataFrame:
+    """From pairs(a, b, na, nb, met), ``met`` the overlap of the prefixes, those that can reach the
+    threshold: beyond the shorter-reaching prefix at most the rest of its set can be shared."""
+    enough = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    rest = F.greatest(*[F.ceil(F.lit(percent) * F.col(c) / 100) - 1 for c in ("na", "nb")])
+    return materialise(met.where(F.col("met") + rest >= enough).select("a", "b", "na", "nb"), "jaccard-pairs")
+
+
+def _prefix_overlaps(pairs: DataFrame, buckets: DataFrame) -> DataFrame:
+    one = buckets.select(F.col("class").alias("a"), "gram")
+    two = buckets.select(F.col("class").alias("b"), "gram")
+    return pairs.join(one, "a").join(two, ["b", "gram"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
+
+
 def _lengths_fit(na: str, nb: str, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
@@ -222,9 +246,12 @@ def _with_components(buckets: DataFrame, links: DataFrame) -> DataFrame:
 def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int, cells) -> DataFrame:
     """Links (a, b) between classes that join everything the similarity joins."""
     texts = documents.select("doc_id", "text")
-    heads = texts.select("text").mapInArrow(_prefixes(n, percent, cells), "gram long, class binary, n int, place int")
-    ordered = heads.repartition(F.col("gram")).sortWithinPartitions("gram", "class")
-    buckets = materialise(ordered.mapInArrow(_shared, "gram long, class binary, n int, place int, head binary"), "jaccard-buckets")
+    buckets = materialise(
+        texts.select("text").mapInArrow(_prefixes(n, percent, cells), "gram long, class binary, n int, place int")
+        .repartition(F.col("gram")).sortWithinPartitions("gram", "class")
+        .mapInArrow(_shared, "gram long, class binary, n int, place int, head binary"),
+        "jaccard-buckets",
+    )
 
     # texts of the classes that share anything, one document each
     needed = materialise(
@@ -232,7 +259,7 @@ def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int,
     )
     wanted = F.broadcast(needed) if needed.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else needed
     fragments = materialise(
-        texts.join(wanted, "doc_id").select("class", "text").mapInArrow(_fragments(n, cells), "class binary, fragment int, grams binary").distinct(),
+        texts.join(wanted, "doc_id").select("class", "text").mapInArrow(_fragments(n, cells), "class binary, fragment int, grams binary"),
         "jaccard-fragments",
     )
 
@@ -254,7 +281,8 @@ def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int,
     first = buckets.where("class <> head").select(F.col("class").alias("x"), F.col("head").alias("y"), F.col("n").alias("nx")).join(
         sizes.select(F.col("class").alias("y"), F.col("n").alias("ny")), "y"
     )
-    links = materialise(_verified(ranked(first, 1), fragments, percent), "jaccard-links")
+    plausible = _plausible(_prefix_overlaps(ranked(first, 1), buckets), percent)
+    links = materialise(_verified(plausible, fragments, percent), "jaccard-links")
     left = _with_components(buckets.drop("head"), links)
     for turn in range(CROWD_ROUNDS):
         crowded = left.where(F.col("members") > CROWD)
@@ -264,19 +292,18 @@ def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int,
         ring = crowded.select(
             F.col("class").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.lag(F.struct("class", "n", "label")).over(shuffled).alias("p")
         ).where(F.col("p.label") != F.col("lx")).select("x", "nx", F.col("p.class").alias("y"), F.col("p.n").alias("ny"))
-        links = materialise(links.unionByName(_verified(ranked(ring, 3), fragments, percent)), "jaccard-links")
+        plausible = _plausible(_prefix_overlaps(ranked(ring, 3), crowded), percent)
+        links = materialise(links.unionByName(_verified(plausible, fragments, percent)), "jaccard-links")
         left = _with_components(left.drop("label", "members"), links)
 
     one, two = left.alias("s"), left.alias("t")
-    enough = F.ceil(F.lit(percent) * (F.col("s.n") + F.col("t.n")) / F.lit(100 + percent))
     listed = one.join(
         two,
         (F.col("s.gram") == F.col("t.gram")) & (F.col("s.class") < F.col("t.class")) & (F.col("s.label") != F.col("t.label"))
         & _lengths_fit("s.n", "t.n", percent),
-    ).select(F.col("s.class").alias("a"), F.col("t.class").alias("b"), F.col("s.n").alias("na"), F.col("t.n").alias("nb"), enough.alias("enough"))
-    rest = F.greatest(*[F.ceil(F.lit(percent) * F.col(c) / 100) - 1 for c in ("na", "nb")])
-    possible = listed.groupBy("a", "b", "na", "nb", "enough").agg(F.count("*").alias("met")).where(F.col("met") + rest >= F.col("enough"))
-    return materialise(links.unionByName(_verified(possible.select("a", "b", "na", "nb"), fragments, percent)), "jaccard-links")
+    ).select(F.col("s.class").alias("a"), F.col("t.class").alias("b"), F.col("s.n").alias("na"), F.col("t.n").alias("nb"))
+    met = listed.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
+    return materialise(links.unionByName(_verified(_plausible(met, percent), fragments, percent)), "jaccard-links")
 
 
 def grouped(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
