@@ -16,6 +16,8 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 # Tables of at most this many rows are broadcast; the count is taken first.
 BROADCAST_ROWS = 100_000
 SLICE_BYTES = 1 << 20
+# Rows of an Arrow batch while a table is written: texts are long.
+BATCH_ROWS = 1_000
 
 
 def words_of(text: Column) -> Column:
@@ -30,7 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared scratch folder and read back: lineage ends, nothing is lost with an executor."""
     spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     del df
     # shuffle files go once the collectors of both sides have seen that nothing reads them
     gc.collect()
