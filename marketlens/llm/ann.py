@@ -28,6 +28,8 @@ SAMPLE_ROWS = 20_000
 SHARD_ROWS = 4_096
 LEAF_ROWS = 32
 QUERY_BLOCK = 512
+# Projections of equal vectors may differ by rounding: this share of their squared length is let pass.
+ROUNDING = 1e-12
 HIT = "query long, query_id long, vec_id long, d2 double"
 
 
@@ -116,7 +118,8 @@ class KdTree:
 def _verify(tree: KdTree, points, vectors, ids, query, image, own_id, k, bound, limit):
     """Verify leaves in the order of their projected distance, a few at first and more later,
     until no leaf left passes the test: projected distance above ``bound`` times the k-th distance."""
-    near = tree.nearness(image)
+    slack = ROUNDING * (1.0 + float(image @ image))
+    near = tree.nearness(image) - slack
     order = np.argsort(near, kind="stable")
     best_d, best_id = np.empty(0), np.empty(0, np.int64)
     reach, at, step = limit, 0, 2
@@ -128,7 +131,7 @@ def _verify(tree: KdTree, points, vectors, ids, query, image, own_id, k, bound,
         at, step = at + step, step * 2
         rows = np.concatenate([tree.rows[tree.first[v] : tree.first[v + 1]] for v in leaves])
         gap = points[rows] - image
-        rows = rows[((gap * gap).sum(axis=1) <= bound * reach) & (ids[rows] != own_id)]
+        rows = rows[((gap * gap).sum(axis=1) - slack <= bound * reach) & (ids[rows] != own_id)]
         if not len(rows):
             continue
         difference = vectors[rows] - query
@@ -255,7 +258,9 @@ def nearest(
                     continue
                 images = _matrix(part.column("v")) @ gauss
                 gap = np.maximum(0.0, np.maximum(lows[None] - images[:, None], images[:, None] - highs[None]))
-                row, cell = np.nonzero((gap * gap).sum(axis=2) <= bound * part.column("reach").to_numpy()[:, None])
+                slack = ROUNDING * (1.0 + (images * images).sum(axis=1))
+                limit = bound * part.column("reach").to_numpy() + slack
+                row, cell = np.nonzero((gap * gap).sum(axis=2) <= limit[:, None])
                 targets = [(r, numbers[c] + s) for r, c in zip(row.tolist(), cell.tolist(), strict=True) if c in numbers for s in range(sizes[c])]
                 if targets:
                     at, shard = zip(*targets, strict=True)

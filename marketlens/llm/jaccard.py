@@ -245,7 +245,7 @@ def _with_components(buckets: DataFrame, links: DataFrame) -> DataFrame:
 
 def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int, cells) -> DataFrame:
     """Links (a, b) between classes that join everything the similarity joins."""
-    texts = documents.select("doc_id", "text")
+    texts = documents.select("doc_id", "version", "text")
     buckets = materialise(
         texts.select("text").mapInArrow(_prefixes(n, percent, cells), "gram long, class binary, n int, place int")
         .repartition(F.col("gram")).sortWithinPartitions("gram", "class")
@@ -255,11 +255,11 @@ def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int,
 
     # texts of the classes that share anything, one document each
     needed = materialise(
-        buckets.select("class").distinct().join(classes, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "jaccard-needed"
+        buckets.select("class").distinct().join(classes, "class").select("class", F.col("doc_id").alias("d"), F.col("version").alias("v")), "jaccard-needed"
     )
     wanted = F.broadcast(needed) if needed.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else needed
     fragments = materialise(
-        texts.join(wanted, "doc_id").select("class", "text").mapInArrow(_fragments(n, cells), "class binary, fragment int, grams binary"),
+        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["version"] == wanted["v"])).select("class", "text").mapInArrow(_fragments(n, cells), "class binary, fragment int, grams binary"),
         "jaccard-fragments",
     )
 
@@ -319,7 +319,9 @@ def grouped(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     )
     cells = documents.sparkSession.sparkContext.broadcast(_sketch(counted))
     members = counted.where("block is null").select("doc_id", "version", "n", "class")
-    classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    # one document of each class, with an id if there is one
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("first")
+    classes = members.where("class is not null").groupBy("class").agg(first).select("class", "first.doc_id", "first.version")
     labels = components(_class_links(chosen, classes, n, percent, cells)).withColumnRenamed("node", "class")
     return members.join(labels, "class", "left").select("doc_id", "version", "n", F.coalesce("label", "class").alias("label"))
 
@@ -340,13 +342,13 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def one_per_group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, less all but the least (id, text) of every group.
+    """The documents, all columns, less all but the least id of every group; rows without an id go first.
 
     Documents without words stay; of rows equal in id and text one stays.
     """
     members = materialise(grouped(documents, doc_id, text, n, percent), "jaccard-groups")
     kept = (
-        members.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "version")).alias("k")).select("k.*")
+        members.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("k")).select("k.doc_id", "k.version")
         .unionByName(members.where("label is null").select("doc_id", "version").distinct())
     )
     keyed = documents.select(

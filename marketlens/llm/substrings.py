@@ -160,7 +160,7 @@ def _search(window: int, index_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: list[tuple]):
-            for part in parts(rows):
+            for part in parts(rows) if rows else ():
                 if found := list(earlier(part)):
                     a, b, c = zip(*found, strict=True)
                     yield pa.RecordBatch.from_pydict({"segment": pa.array(a, pa.binary()), "offset": pa.array(b, pa.int32()), "windows": pa.array(c, pa.int32())})
