@@ -115,18 +115,23 @@ def entity_tokens(c: Column | str) -> Column:
 
 
 def tag_entities(
-    rows: DataFrame, text_column: str, gazetteer: DataFrame, id_column: str, max_words: int = 3
+    rows: DataFrame, text_column: str, gazetteer: DataFrame, id_column: str
 ) -> DataFrame:
     """Gazetteer matches grouped as persons, organizations, locations and misc.
 
+    Matches are as long as the longest name of the gazetteer. Where they overlap, the longest
+    counts, then the first; a name with several labels counts for each.
+
     ``gazetteer(surface, label)`` is joined on the surface form; Spark broadcasts
     it while it is under the threshold and sort-merges it when it is not. Only
     matches reach the grouping exchange.
     """
+    names = gazetteer.select(entity_tokens("surface").alias("_t"), "label")
+    max_words = names.agg(F.coalesce(F.max(F.size("_t")), F.lit(0))).first()[0]
     grams = F.transform(
         "_t",
         lambda _, i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("_t") - i)),
+            F.sequence(F.lit(1), F.least(F.lit(max(1, max_words)), F.size("_t") - i)),
             lambda n: F.struct(
                 i.alias("pos"),
                 n.alias("words"),
@@ -138,27 +143,43 @@ def tag_entities(
         rows.select(id_column, entity_tokens(text_column).alias("_t"))
         .select(id_column, F.inline(F.flatten(grams)))
         .join(
-            gazetteer.select(
-                F.array_join(entity_tokens("surface"), " ").alias("surface"), "label"
-            ).distinct(),
+            names.select(F.array_join("_t", " ").alias("surface"), "label").distinct(),
             "surface",
         )
     )
 
-    def of(label: str) -> Column:
-        hit = F.when(F.col("label") == label, F.struct("pos", "words", "surface"))
-        return F.transform(F.sort_array(F.collect_list(hit)), lambda h: h["surface"])
+    span = "struct<less:int,pos:int,words:int,surface:string,label:string>"
+    spans = found.groupBy(id_column).agg(
+        F.sort_array(
+            F.collect_list(F.struct((-F.col("words")).alias("less"), "pos", "words", "surface", "label"))
+        ).alias("_s")
+    )
+
+    def apart(x: Column, y: Column) -> Column:
+        same = (x["pos"] == y["pos"]) & (x["words"] == y["words"])
+        return same | (x["pos"] + x["words"] <= y["pos"]) | (y["pos"] + y["words"] <= x["pos"])
 
-    other = F.when(
-        ~F.col("label").isin("PERSON", "ORG", "GPE"), F.struct("pos", "words", "surface", "label")
+    disjoint = F.aggregate(
+        "_s",
+        F.array().cast(f"array<{span}>"),
+        lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.concat(acc, F.array(x))).otherwise(acc),
     )
-    return found.groupBy(id_column).agg(
+    ordered = F.sort_array(
+        F.transform(disjoint, lambda x: F.struct(x["pos"].alias("pos"), x["surface"].alias("surface"), x["label"].alias("label")))
+    )
+    tagged = spans.select(id_column, ordered.alias("_s"))
+
+    def of(label: str) -> Column:
+        return F.transform(F.filter("_s", lambda x: x["label"] == label), lambda x: x["surface"])
+
+    return tagged.select(
+        id_column,
         of("PERSON").alias("persons"),
         of("ORG").alias("organizations"),
         of("GPE").alias("locations"),
         F.transform(
-            F.sort_array(F.collect_list(other)),
-            lambda h: F.struct(h["surface"].alias("text"), h["label"].alias("label")),
+            F.filter("_s", lambda x: ~x["label"].isin("PERSON", "ORG", "GPE")),
+            lambda x: F.struct(x["surface"].alias("text"), x["label"].alias("label")),
         ).alias("misc"),
     )
 

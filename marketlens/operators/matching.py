@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import let
-from .leads import dedupe_leads
 from .metrics import MONEY_OR_PERCENT
 
 
@@ -70,27 +69,27 @@ def fuse(
 ) -> DataFrame:
     """Internal records completed by external ones on a conformed key; internal values win.
 
-    Each side is cut to its first record per key before the join, so a crowded
-    key joins one row with one row. Records without a key match nothing; they
-    go around the join instead of meeting in one partition.
+    Every internal record joins the first external record of its key, taken as given; external
+    records beyond the first, and those no internal record shares a key with, come out
+    unmatched. Nothing is lost and no key pairs all with all: a crowded key is crowded on the
+    internal side only. Records without a key go around the join.
     """
     left_id, right_id = ids
 
-    def sides(df: DataFrame, id_column: str, prefix: str) -> tuple[DataFrame, DataFrame]:
-        keyed = df.select(
+    def keyed(df: DataFrame, id_column: str, prefix: str) -> DataFrame:
+        return df.select(
             key.alias("fused_key"), *[F.col(c).alias(f"{prefix}{c}") for c in [id_column, *columns]]
         )
-        present = keyed.filter("fused_key is not null")
-        first = dedupe_leads(present, ["fused_key"], scope=[], order=[f"{prefix}{id_column}"])
-        return first, keyed.filter("fused_key is null")
-
-    left, left_loose = sides(internal, left_id, "_i_")
-    right, right_loose = sides(external, right_id, "_e_")
-    both = (
-        left.join(right, "fused_key", "full_outer")
-        .unionByName(left_loose, allowMissingColumns=True)
-        .unionByName(right_loose, allowMissingColumns=True)
-    )
+
+    left, right = keyed(internal, left_id, "_i_"), keyed(external, right_id, "_e_")
+    present = "fused_key is not null"
+    in_key = Window.partitionBy("fused_key").orderBy(f"_e_{right_id}")
+    ranked = right.filter(present).withColumn("_n", F.row_number().over(in_key))
+    first, surplus = ranked.filter("_n = 1").drop("_n"), ranked.filter("_n > 1").drop("_n")
+    unmatched = first.join(left.filter(present).select("fused_key").distinct(), "fused_key", "left_anti")
+    both = left.filter(present).join(first, "fused_key", "left")
+    for rest in (left.filter("fused_key is null"), unmatched, surplus, right.filter("fused_key is null")):
+        both = both.unionByName(rest, allowMissingColumns=True)
     return both.select(
         "fused_key",
         F.col(f"_i_{left_id}").alias(left_id),

@@ -347,6 +347,7 @@ def top_entities(notes: DataFrame, customers: DataFrame, cues: list, n: int = 10
 def trend_velocity(events: DataFrame, n: int = 3) -> DataFrame:
     """Daily counts of the strongest trends and their change from the day before.
 
+    A day without events counts zero; the first day of a trend has no change.
     The window runs over one row per day, not over events.
     """
     daily = events.groupBy("event_type", F.date_trunc("day", "ts").cast("date").alias("day")).agg(
@@ -359,8 +360,10 @@ def trend_velocity(events: DataFrame, n: int = 3) -> DataFrame:
         .limit(n)
     )
     order = Window.partitionBy("event_type").orderBy("day")
+    before = F.lag("day").over(order)
+    adjoining = F.when(F.date_add(before, 1) == F.col("day"), F.lag("mentions").over(order)).otherwise(0)
     return daily.join(F.broadcast(strongest), "event_type").withColumn(
-        "velocity", F.col("mentions") - F.lag("mentions").over(order)
+        "velocity", F.when(before.isNotNull(), F.col("mentions") - adjoining)
     )
 
 

@@ -222,6 +222,7 @@ def block_join(
     product that returns k rows per query.
     """
     spark = q.sparkSession
+    q, c = q.filter("v is not null"), c.filter("v is not null")
     total = c.count()
     wanted = int(min(MAX_PIVOTS, max(1, -(-total // block_rows))))
     # Pivots are the ids with the smallest hash: spread out, and the same on every run.

@@ -397,8 +397,10 @@ def top10_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
       select event_type, sum(mentions)::bigint as total from daily group by 1
       order by total desc, event_type limit 3)
     select event_type, day, mentions, total,
-      mentions - lag(mentions) over (partition by event_type order by day) as velocity
-    from daily join strongest using (event_type)""",
+      case when lag(day) over w is not null then mentions
+        - case when lag(day) over w + 1 = day then lag(mentions) over w else 0 end end as velocity
+    from daily join strongest using (event_type)
+    window w as (partition by event_type order by day)""",
 )
 def trend_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.trend_velocity(table(spark, sf_dir, "events"))

@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
+        if not context.getCheckpointDir() and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not context.getCheckpointDir():
             context.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         folder = context.getCheckpointDir()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..operators.chunks import chunk_paragraphs
 from ..operators.retrieval import embed_hash
@@ -45,10 +45,14 @@ def append(
 def load(spark: SparkSession, path: str, index_name: str) -> DataFrame:
     """Vectors of one index; only its folder is read."""
     try:
-        rows = spark.read.parquet(path)
+        found = spark.read.parquet(path).schema
     except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise MissingIndex(index_name) from e
-    rows = rows.filter(F.col("index_name") == index_name)
+    # Names are text: inferred types would make one index of `1` and `01`.
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "index_name" else f.dataType) for f in found])
+    rows = spark.read.schema(schema).parquet(path).filter(F.col("index_name") == index_name)
     if rows.isEmpty():
         raise MissingIndex(index_name)
     return rows

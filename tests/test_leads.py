@@ -59,7 +59,7 @@ def test_tags_group_by_label(spark):
         [("Acme Tech", "ORG"), ("Paris", "GPE"), ("CTO", "TITLE"), ("Tech", "ORG")], "surface string, label string"
     )
     got = {r["id"]: r for r in leads.tag_entities(rows, "t", words, "id").collect()}
-    assert got[1]["organizations"] == ["Acme Tech", "Tech"]
+    assert got[1]["organizations"] == ["Acme Tech"]
     assert got[1]["locations"] == ["Paris"] and got[1]["persons"] == []
     assert got[1]["misc"][0].asDict() == {"text": "CTO", "label": "TITLE"} and 2 not in got
 
@@ -110,9 +110,23 @@ def test_fuzzy_match_finds_every_pair(spark):
         assert got["acme", "acme"]["left_records"] == 2
 
 
-def test_fuse_keeps_keyless_records_and_first_per_key(spark):
+def test_fuse_loses_no_record(spark):
     left = spark.createDataFrame([(1, "k", None), (2, "k", "b"), (3, None, "c")], "company_id long, n string, s string")
-    right = spark.createDataFrame([(8, "k", "e"), (9, None, "f"), (10, "z", "g")], "external_id long, n string, s string")
+    right = spark.createDataFrame([(8, "k", "e"), (9, None, "f"), (10, "z", "g"), (11, "k", "h")], "external_id long, n string, s string")
     out = matching.fuse(left, right, F.col("n"), ("company_id", "external_id"), ["n", "s"])
     got = {(r["company_id"], r["external_id"], r["s"]) for r in out.collect()}
-    assert got == {(1, 8, "e"), (3, None, "c"), (None, 9, "f"), (None, 10, "g")}
+    assert got == {(1, 8, "e"), (2, 8, "b"), (3, None, "c"), (None, 9, "f"), (None, 10, "g"), (None, 11, "h")}
+
+
+def test_fuse_takes_keys_as_given(spark):
+    left = spark.createDataFrame(list(enumerate(["Acme", "ACME", "acme", "", "dup", "dup"], 1)), "a long, n string")
+    right = spark.createDataFrame([(10, "ACME"), (11, "")], "b long, n string")
+    out = matching.fuse(left, right, F.col("n"), ("a", "b"), ["n"])
+    assert {(r["a"], r["b"]) for r in out.collect()} == {(1, None), (2, 10), (3, None), (4, 11), (5, None), (6, None)}
+
+
+def test_long_names_are_tagged(spark):
+    rows = spark.createDataFrame([(1, "VP at Bank of New York Mellon")], "id long, t string")
+    words = spark.createDataFrame([("Bank of New York Mellon", "ORG"), ("New York", "GPE")], "surface string, label string")
+    got = leads.tag_entities(rows, "t", words, "id").first()
+    assert got["organizations"] == ["Bank of New York Mellon"] and got["locations"] == []
