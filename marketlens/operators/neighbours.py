@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,6 @@ DEFAULT_K = 4
 # beyond it both sides are exchanged in blocks.
 BROADCAST_VALUES = 8_000_000
 BLOCK_ROWS = 32_768
-MAX_PIVOTS = 256
-# Distances are compared at this precision, so equal vectors tie and ids decide.
-DECIMALS = 8
 _CELLS_PER_STEP = 4_000_000
 
 
@@ -33,8 +31,21 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
-    return np.round(np.maximum(d, 0.0), DECIMALS)
+    """Squared distance of each row of ``a`` to the same row of ``b`` (or to its only one)."""
+    d = a - b
+    return (d * d).sum(axis=1)
+
+
+def rough_distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all rows of ``a`` to all of ``b`` by one product, and a bound of their error.
+
+    Both sides are moved to the middle of ``b`` first, so the bound follows the spread of
+    the rows and not their distance from zero.
+    """
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
+    scale = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    return scale - 2.0 * (a @ b.T), scale * (4 * (a.shape[1] + 8) * np.finfo(float).eps)
 
 
 class _Best:
@@ -53,23 +64,26 @@ class _Best:
             return
         step = max(1, _CELLS_PER_STEP // len(ids))
         for low in range(0, len(self.query_ids), step):
-            block = squared_distances(self.queries[low : low + step], vectors)
-            promising = block.min(axis=1) <= self.limits[low : low + step]
+            rough, error = rough_distances(self.queries[low : low + step], vectors)
+            promising = (rough - error).min(axis=1) <= self.limits[low : low + step]
             for i in np.flatnonzero(promising):
-                self._merge(low + i, block[i], ids)
+                self._merge(low + i, rough[i], error[i], ids, vectors)
 
-    def _merge(self, i: int, distances: np.ndarray, ids: np.ndarray) -> None:
+    def _merge(
+        self, i: int, rough: np.ndarray, error: np.ndarray, ids: np.ndarray, vectors: np.ndarray
+    ) -> None:
+        """All rows that may be among the nearest are measured again by plain difference."""
         if self.skip_self:
             other = ids != self.query_ids[i]
-            distances, ids = distances[other], ids[other]
+            rough, error, ids, vectors = rough[other], error[other], ids[other], vectors[other]
         limit = self.limits[i]
-        if len(distances) > self.k:
-            limit = min(limit, np.partition(distances, self.k - 1)[self.k - 1])
-        near = distances <= limit
+        if len(rough) > self.k:
+            limit = min(limit, np.partition(rough + error, self.k - 1)[self.k - 1])
+        near = rough - error <= limit
         if not near.any():
             return
         best, best_ids = self.found[i]
-        distances = np.concatenate([best, distances[near]])
+        distances = np.concatenate([best, squared_distances(vectors[near], self.queries[i])])
         ids = np.concatenate([best_ids, ids[near]])
         order = np.lexsort((ids, distances))[: self.k]
         self.found[i] = (distances[order], ids[order])
@@ -174,14 +188,15 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
         for batch in map(_present, batches):
             if batch.num_rows == 0:
                 continue
-            d = squared_distances(_matrix(batch.column(1)), shared.value)
-            cell = d.argmin(axis=1)
+            vectors = _matrix(batch.column(1))
+            cell = rough_distances(vectors, shared.value)[0].argmin(axis=1)
+            reach = np.sqrt(squared_distances(vectors, shared.value[cell]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array(cell.astype(np.int32)),
-                    pa.array(np.sqrt(d[np.arange(len(cell)), cell])),
+                    pa.array(reach),
                 ],
                 names=["id", "v", "cell", "reach"],
             )
@@ -199,15 +214,18 @@ def _cell_routes(
     (own reach + pivot gap + item reach); a corpus cell farther than that from
     all of them cannot contribute.
     """
-    gap = np.sqrt(squared_distances(pivots, pivots))
-    slack = 1e-3  # covers the rounding of distances
+    cells = np.array(list(c_reach), np.int64)
+    far = np.array(list(c_reach.values()))
+    owners = np.repeat(np.array(list(near), np.int64), [len(r) for r in near.values()])
+    reaches = np.concatenate([np.array(r) for r in near.values()])
     pairs = []
     for a, ra in q_reach.items():
-        upper = np.sort([ra + gap[a, b] + r for b, reaches in near.items() for r in reaches])
-        limit = upper[need - 1] if len(upper) >= need else np.inf
-        pairs += [
-            (a, b) for b, rb in c_reach.items() if gap[a, b] - ra - rb <= limit + slack
-        ]
+        gap = np.sqrt(squared_distances(pivots, pivots[a]))
+        upper = ra + gap[owners] + reaches
+        limit = np.partition(upper, need - 1)[need - 1] if len(upper) >= need else np.inf
+        # reaches and gaps are exact but for the last digits
+        least = (gap[cells] - ra - far) - 1e-9 * (gap[cells] + ra + far)
+        pairs += [(a, int(b)) for b in cells[least <= limit * (1 + 1e-9)]]
     return pairs
 
 
@@ -224,7 +242,8 @@ def block_join(
     spark = q.sparkSession
     q, c = q.filter("v is not null"), c.filter("v is not null")
     total = c.count()
-    wanted = int(min(MAX_PIVOTS, max(1, -(-total // block_rows))))
+    # More cells prune more; what the driver holds of them stays below the number of rows.
+    wanted = max(1, min(-(-total // block_rows), math.isqrt(total) // 8))
     # Pivots are the ids with the smallest hash: spread out, and the same on every run.
     chosen = c.orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow()
     chosen = _present(chosen)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -17,12 +17,16 @@ MAX_RESULTS = 50
 
 
 def embed_hash(df: DataFrame, text_column: str, size: int = EMBEDDING_SIZE) -> DataFrame:
-    """Unit vector of hashed word counts; the same text always gives the same vector."""
-    words = df.withColumn("_words", text.tokens(text_column))
-    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=size).transform(words)
-    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counts)
+    """Unit vector of hashed word counts; the same text always gives the same vector.
+
+    A word's place is the number in the first eight digits of its MD5, modulo ``size``.
+    """
+    place = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % size).cast("string")
+    words = df.withColumn("_places", F.transform(text.tokens(text_column), place))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], "_places", "_tf")
+    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counter.transform(words))
     return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
-        "_words", "_tf", "_unit"
+        "_places", "_tf", "_unit"
     )
 
 
@@ -95,10 +99,11 @@ def render_prompt(
 
 def render_meta_prompt(ideas: DataFrame, force_names: list[str], template: str) -> DataFrame:
     """One crawl-planning prompt per idea and force."""
-    with_idea = F.replace(F.lit(template), F.lit("{project_idea}"), F.col("idea"))
+    # the idea goes in last: what it holds is not filled again
+    with_force = F.replace(F.lit(template), F.lit("{porter_force}"), F.col("porter_force"))
     return ideas.withColumn(
         "porter_force", F.explode(F.array(*map(F.lit, force_names)))
-    ).withColumn("prompt", F.replace(with_idea, F.lit("{porter_force}"), F.col("porter_force")))
+    ).withColumn("prompt", F.replace(with_force, F.lit("{project_idea}"), F.col("idea")))
 
 
 def query_terms(searches: DataFrame, text_column: str) -> DataFrame:
@@ -144,13 +149,15 @@ def bm25(
     rows of each task are exchanged. More requests than that meet the documents'
     words in a join.
     """
-    asked = terms.select("request_id", "term").limit(few_terms + 1).collect()
+    terms = terms.select("request_id", "term").distinct()
+    asked = terms.limit(few_terms + 1).collect()
     if len(asked) > few_terms:
         return _bm25_join(docs, terms, id_column, text_column, limit)
-    words = sorted({r["term"] for r in asked})
+    request_type = terms.schema["request_id"].dataType
+    words = sorted({r["term"] for r in asked if r["term"] is not None})
     if not words:
         return docs.select(
-            F.lit(0).cast("long").alias("request_id"),
+            F.lit(None).cast(request_type).alias("request_id"),
             id_column,
             F.lit(0.0).alias("score"),
             F.lit(1).alias("rank"),
@@ -167,14 +174,14 @@ def bm25(
     ).first()
     n = F.lit(float(figures["n"]))
     frequency = {w: figures[f"df_{i}"] or 0 for i, w in enumerate(words)}
-    wanted: dict[str, list[int]] = {}
-    for r in asked:
+    wanted: dict[str, list] = {}
+    for r in sorted(asked, key=str):
         wanted.setdefault(r["term"], []).append(r["request_id"])
     requests_of = F.create_map(
         *[
             x
             for w in words
-            for x in (F.lit(w), F.array(*[F.lit(i).cast("long") for i in wanted[w]]))
+            for x in (F.lit(w), F.array(*[F.lit(i).cast(request_type) for i in wanted[w]]))
         ]
     )
     idf_of = F.create_map(

@@ -103,10 +103,23 @@ def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_paragraphs(derived(spark, sf_dir, "paragraph_docs"), "doc_id", "text")
 
 
-@query("embed_hash")
+@query(
+    "embed_hash",
+    f"""with words as (select doc_id, unnest({q.tokens('text')}) as word from documents),
+    counts as (
+      select doc_id, ('0x' || substring(md5(word), 1, 8))::bigint % 256 as place, count(*) as n
+      from words group by all),
+    norms as (select doc_id, sqrt(sum(n * n)) as norm from counts group by doc_id)
+    select doc_id, place::integer as place, round((n / norm)::float::double, 6) as weight
+    from counts join norms using (doc_id)""",
+)
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors' places that are not zero, one row each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ops.embed_hash(docs, "text").drop("text")
+    places = ops.embed_hash(docs, "text").select("doc_id", F.posexplode("embedding").alias("place", "x"))
+    return places.filter("x <> 0").select(
+        "doc_id", "place", F.round(F.col("x").cast("double"), 6).alias("weight")
+    )
 
 
 @query(
@@ -169,7 +182,7 @@ hits as (
       rank::integer as rank from hits""",
 )
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_hits(spark, sf_dir)
+    return label_hits(spark, sf_dir).withColumn("distance", F.round("distance", 8))
 
 
 @query(
@@ -219,7 +232,7 @@ def recommend_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         unit, unit, query_columns=("vec_id", "embedding"), skip_self=True
     )
     return hits.select(
-        "query_id", "item_id", (1 - F.col("distance") / 2).alias("similarity"), "rank"
+        "query_id", "item_id", (1 - F.round("distance", 8) / 2).alias("similarity"), "rank"
     )
 
 
@@ -238,7 +251,7 @@ def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         query_columns=("vec_id", "embedding"),
         skip_self=True,
         broadcast_values=1,
-    )
+    ).withColumn("distance", F.round("distance", 8))
 
 
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
