@@ -55,15 +55,22 @@ def filter_recent(rows: DataFrame, ts_column: str, months: int) -> DataFrame:
     return rows.filter(F.col(ts_column) >= newest - F.make_interval(months=F.lit(months)))
 
 
-def rivalry_concentration(sales: DataFrame, years: Column) -> DataFrame:
-    """Concentration per market from ``(market, competitor, revenue, year)``.
+def revenue_by(sales: DataFrame, keys: list[str], newest: Column) -> DataFrame:
+    """Revenue ``r`` per key, and that of the newest year and the one before, from ``(revenue, year)``."""
+    last = F.when(F.col("year") == newest, F.col("revenue"))
+    before = F.when(F.col("year") == newest - 1, F.col("revenue"))
+    return sales.groupBy(*keys).agg(
+        F.sum("revenue").alias("r"), F.sum(last).alias("last"), F.sum(before).alias("before")
+    )
+
+
+def rivalry_concentration(revenues: DataFrame) -> DataFrame:
+    """Concentration per market from sums ``(market, competitor, r, last, before)``.
 
     HHI is a ratio of two sums over competitors, so no market is ever gathered.
     """
-    last = F.when(F.col("year") == years, F.col("revenue"))
-    before = F.when(F.col("year") == years - 1, F.col("revenue"))
-    by_competitor = sales.groupBy("market", "competitor").agg(
-        F.sum("revenue").alias("r"), F.sum(last).alias("last"), F.sum(before).alias("before")
+    by_competitor = revenues.groupBy("market", "competitor").agg(
+        *[F.sum(c).alias(c) for c in ("r", "last", "before")]
     )
     hhi = F.sum(F.col("r") * F.col("r")) / (F.sum("r") * F.sum("r"))
     growth = F.try_divide(F.sum("last"), F.sum("before")) - 1
@@ -81,6 +88,7 @@ INVESTMENT = r"funding[^0-9%$.]{0,40}(\$[0-9][0-9,]*(?:\.[0-9]+)?[KMB]?)"
 BUDGET = r"budget of (\$[0-9][0-9,]*(?:\.[0-9]+)?[KMB]?)"
 SPEND = r"Acquisition spend was (\$[0-9][0-9,]*(?:\.[0-9]+)?[KMB]?)"
 NEW_CUSTOMERS = r"for ([0-9]+) new customers"
+UNIT_COST = r"Unit cost (?:rose|fell) to (\$[0-9][0-9,]*(?:\.[0-9]+)?[KMB]?)"
 TERM_MONTHS = r"([0-9]+) months?\b"
 
 
@@ -148,20 +156,41 @@ def lead_scoring(notes: DataFrame, cues: list) -> DataFrame:
     )
 
 
-def supplier_criticality(lines: DataFrame) -> DataFrame:
+def _ordered_parts(lines: DataFrame, per_note: DataFrame) -> DataFrame:
+    """What notes on an order say, for each line of that order; notes without a finding are gone before."""
+    return lines.select("l_orderkey", "l_partkey").join(per_note, F.col("l_orderkey") == F.col("doc_id"))
+
+
+def supplier_criticality(lines: DataFrame, notes: DataFrame, cues: list) -> DataFrame:
+    """Alternatives per part, and switching and dependency cues of notes on its order lines."""
     alternatives = F.count_distinct("l_suppkey")
-    return lines.groupBy("l_partkey").agg(
+    per_part = lines.groupBy("l_partkey").agg(
         alternatives.alias("alternatives"),
         scale_1_10(1 / alternatives).alias("criticality_score"),
     )
+    per_note = notes.select(
+        "doc_id",
+        cue_ops.count_matches("text", cue_ops.terms_of(cues, "switching")).alias("s"),
+        cue_ops.count_matches("text", cue_ops.terms_of(cues, "unique_technology")).alias("u"),
+    ).filter("s + u > 0")
+    said = _ordered_parts(lines, per_note).groupBy("l_partkey").agg(
+        F.sum("s").alias("switching_cues"), F.sum("u").alias("unique_dependencies")
+    )
+    return per_part.join(said, "l_partkey", "left").na.fill(0, ["switching_cues", "unique_dependencies"])
 
 
-def cost_volatility(lines: DataFrame) -> DataFrame:
+def cost_volatility(lines: DataFrame, notes: DataFrame) -> DataFrame:
+    """Unit cost per part and its relative spread, beside the unit costs notes state on its order lines."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    return lines.groupBy("l_partkey").agg(
+    per_part = lines.groupBy("l_partkey").agg(
         F.round(F.avg(unit), 4).alias("mean_unit_cost"),
         F.round(F.try_divide(F.stddev_samp(unit), F.avg(unit)), 4).alias("volatility"),
     )
+    per_note = notes.select("doc_id", first_amount("text", UNIT_COST).alias("cost")).filter("cost is not null")
+    said = _ordered_parts(lines, per_note).groupBy("l_partkey").agg(
+        F.count("*").alias("stated"), F.round(F.avg("cost"), 4).alias("stated_unit_cost")
+    )
+    return per_part.join(said, "l_partkey", "left").na.fill(0, ["stated"])
 
 
 def supplier_risk(lines: DataFrame) -> DataFrame:
@@ -198,19 +227,36 @@ def weighted_threat(
 def threat_matrix(
     notes: DataFrame, customers: DataFrame, cues: list, groups: tuple[str, ...]
 ) -> DataFrame:
-    """Cue counts by industry and threat; counted per customer before the join."""
+    """Cue counts by industry and threat, with their movement; counted per customer before the join.
+
+    ``alternative_growth`` compares mentions of alternatives in the newest year of the notes
+    with the year before; ``preference_shift`` is the change in the share of cues that tell of
+    changed behaviour or adoption.
+    """
     chosen = [c for c in cues if c[0] in groups]
+    newest = notes.select(F.year(F.max("ts"))).scalar()
+    age = newest - F.year("ts")
     per_customer = (
-        cue_ops.cue_hits(notes, "text", chosen, ["entity_id"])
+        cue_ops.cue_hits(notes, "text", chosen, ["entity_id", "ts"])
         .groupBy("entity_id", "cue_group")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.count_if(age == 0).alias("last"), F.count_if(age == 1).alias("before"))
     )
+
+    def total(column: str, *chosen_groups: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("cue_group").isin(*chosen_groups), F.col(column))), F.lit(0))
+
+    def share(column: str) -> Column:
+        return F.try_divide(total(column, "behaviour", "adoption"), F.sum(column))
+
+    growth = F.try_divide(total("last", "alternative"), total("before", "alternative")) - 1
     return (
         per_customer.join(customers, per_customer["entity_id"] == customers["c_custkey"])
         .groupBy(F.col("c_mktsegment").alias("industry"))
-        .pivot("cue_group", list(groups))
-        .agg(F.sum("n"))
-        .na.fill(0)
+        .agg(
+            *[total("n", g).alias(g) for g in groups],
+            F.round(growth, 4).alias("alternative_growth"),
+            F.round(share("last") - share("before"), 4).alias("preference_shift"),
+        )
     )
 
 

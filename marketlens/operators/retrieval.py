@@ -8,6 +8,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text, vectors
+from ..sources.scratch import scratch_path
 
 EMBEDDING_SIZE = 256
 BM25_K1 = 1.2
@@ -55,15 +56,11 @@ def cosine_filter(
 
 
 def retrieve_context(
-    hits: DataFrame, chunks: DataFrame, *, few: bool = False, separator: str = "\n\n"
+    hits: DataFrame, chunks: DataFrame, *, separator: str = "\n\n"
 ) -> DataFrame:
-    """The retrieved chunks of each query, best first, joined to one context.
-
-    Say ``few`` when the queries were counted and found to be few: their hits,
-    k rows each, then go to the chunks. Otherwise Spark picks the join.
-    """
+    """The retrieved chunks of each query, best first, joined to one context."""
     return (
-        chunks.join(F.broadcast(hits) if few else hits, "item_id")
+        chunks.join(hits, "item_id")
         .groupBy("query_id")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_text"))).alias("_c"))
         .select(
@@ -82,15 +79,20 @@ def canonical_force(requests: DataFrame, forces: DataFrame, column: str) -> Data
 
 def render_prompt(
     requests: DataFrame, forces: DataFrame, templates: DataFrame, column: str = "force_name",
-    *, unknown: str = "error",
+    *, question: str | None = None, unknown: str = "error",
 ) -> DataFrame:
     """Fill the template of each request's force with its context.
 
-    A force without a template fails the job, or, with ``unknown='keep'``,
+    ``question`` names the column for the slot ``{question}``; what a context or a
+    question holds is not filled again. A force without a template fails the job, or, with ``unknown='keep'``,
     leaves its prompt NULL.
     """
     joined = canonical_force(requests, forces, column).join(templates, "force", "left")
-    prompt = F.replace(F.col("template"), F.lit("{context}"), F.col("context"))
+    parts = F.split("template", r"\{context\}")
+    if question is not None:
+        asked = F.coalesce(F.col(question), F.lit(""))
+        parts = F.transform(parts, lambda p: F.replace(p, F.lit("{question}"), asked))
+    prompt = F.call_function("array_join", parts, F.col("context"))
     if unknown == "error":
         message = F.concat(F.lit("Unknown force: "), F.coalesce(F.col(column), F.lit("NULL")))
         prompt = F.when(F.col("template").isNull(), F.raise_error(message)).otherwise(prompt)
@@ -140,94 +142,39 @@ def bm25(
     text_column: str,
     *,
     limit: int = MAX_RESULTS,
-    few_terms: int = 1000,
 ) -> DataFrame:
     """Ranked keyword search, at most ``limit`` hits per request ``(request_id, term)``.
 
-    A small set of requests travels to the documents: one pass gathers the
-    corpus figures, a second scores each document in its row, and only the best
-    rows of each task are exchanged. More requests than that meet the documents'
-    words in a join.
+    One pass splits the text and keeps, in shared scratch, each document's length and its
+    counts of words asked for. The words meet the terms in a join, which Spark broadcasts
+    while the terms are small; corpus figures and scores come from the kept rows. A length
+    row goes by a name no word can have, spread over the ids so that it makes no hot key.
+    Rows with one id and one length count as one document.
     """
+    spark = docs.sparkSession
     terms = terms.select("request_id", "term").distinct()
-    asked = terms.limit(few_terms + 1).collect()
-    if len(asked) > few_terms:
-        return _bm25_join(docs, terms, id_column, text_column, limit)
-    request_type = terms.schema["request_id"].dataType
-    words = sorted({r["term"] for r in asked if r["term"] is not None})
-    if not words:
-        return docs.select(
-            F.lit(None).cast(request_type).alias("request_id"),
-            id_column,
-            F.lit(0.0).alias("score"),
-            F.lit(1).alias("rank"),
-        ).filter("false")
-    read = docs.select(id_column, text.tokens(text_column).alias("_t")).select(
-        id_column,
-        F.size("_t").alias("length"),
-        F.filter("_t", lambda t: t.isin(words)).alias("_m"),
-    )
-    figures = read.agg(
-        F.count("*").alias("n"),
-        F.avg("length").alias("mean_length"),
-        *[F.sum(F.array_contains("_m", w).cast("long")).alias(f"df_{i}") for i, w in enumerate(words)],
-    ).first()
-    n = F.lit(float(figures["n"]))
-    frequency = {w: figures[f"df_{i}"] or 0 for i, w in enumerate(words)}
-    wanted: dict[str, list] = {}
-    for r in sorted(asked, key=str):
-        wanted.setdefault(r["term"], []).append(r["request_id"])
-    requests_of = F.create_map(
-        *[
-            x
-            for w in words
-            for x in (F.lit(w), F.array(*[F.lit(i).cast(request_type) for i in wanted[w]]))
-        ]
-    )
-    idf_of = F.create_map(
-        *[x for w in words for x in (F.lit(w), _idf(n, F.lit(float(frequency[w]))))]
-    )
-    mean_length = F.lit(figures["mean_length"] or 1.0)
-
-    def part(word: Column) -> Column:
-        tf = F.size(F.filter("_m", lambda t: t == word))
-        return F.struct(
-            requests_of[word].alias("requests"),
-            text.let(
-                tf, lambda n: _bm25_part(n, F.col("length"), idf_of[word], mean_length)
-            ).alias("part"),
-        )
-
-    def total(request: Column) -> Column:
-        own = F.filter("_p", lambda p: F.array_contains(p["requests"], request))
-        return F.struct(
-            request.alias("request_id"),
-            F.round(F.aggregate(own, F.lit(0.0), lambda acc, p: acc + p["part"]), 6).alias("score"),
-        )
-
-    requests = F.array_distinct(F.flatten(F.transform("_p", lambda p: p["requests"])))
-    scored = (
-        read.select(id_column, F.transform(F.array_distinct("_m"), part).alias("_p"))
-        .select(id_column, F.inline(F.transform(requests, total)))
-    )
-    return _best_hits(scored, id_column, limit)
-
-
-def _bm25_join(
-    docs: DataFrame, terms: DataFrame, id_column: str, text_column: str, limit: int
-) -> DataFrame:
-    words = docs.select(id_column, text.tokens(text_column).alias("_t")).select(
-        id_column, "_t", F.size("_t").alias("length")
-    )
-    matches = (
-        words.select(id_column, "length", F.explode("_t").alias("term"))
+    size_row = F.concat(F.lit("#"), F.xxhash64(id_column).cast("string"))
+    words = docs.select(
+        id_column, F.coalesce(text.tokens(text_column), F.array().cast("array<string>")).alias("_t")
+    ).select(id_column, F.size("_t").alias("length"), F.explode(F.array_append("_t", size_row)).alias("term"))
+    asked = terms.select("term", F.lit(True).alias("asked")).filter("term is not null").distinct()
+    kept = (
+        words.join(asked, "term", "left")
+        .filter(F.col("asked") | F.startswith("term", F.lit("#")))
         .groupBy(id_column, "length", "term")
         .agg(F.count("*").alias("tf"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
     )
-    size = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    n, mean_length = size.select("n").scalar(), size.select("mean_length").scalar()
-    frequency = matches.groupBy("term").agg(_documents().alias("df"))
+    path = scratch_path(spark, "bm25")
+    kept.write.parquet(path)
+    kept = spark.read.schema(kept.schema).parquet(path)
+
+    is_size = F.startswith("term", F.lit("#"))
+    figures = kept.filter(is_size).agg(
+        F.sum("tf").alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean_length")
+    ).first()
+    n, mean_length = F.lit(float(figures["n"] or 0)), F.lit(figures["mean_length"] or 1.0)
+    matches = kept.filter(~is_size)
+    frequency = matches.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(frequency, "term").select(
         "request_id", "term", _idf(n, F.col("df")).alias("idf")
     )

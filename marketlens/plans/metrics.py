@@ -295,14 +295,16 @@ def report_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rivalry_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part")
-    sales = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(
-        F.col("p_type").alias("market"),
+    sales = lines.select(
+        "l_partkey",
         F.col("l_suppkey").alias("competitor"),
         F.year("l_shipdate").alias("year"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
     )
-    newest = lines.select(F.max(F.year("l_shipdate"))).scalar()
-    return ops.rivalry_concentration(sales, newest)
+    newest = lines.select(F.year(F.max("l_shipdate"))).scalar()
+    per_part = ops.revenue_by(sales, ["l_partkey", "competitor"], newest)
+    markets = parts.select("p_partkey", F.col("p_type").alias("market"))
+    return ops.rivalry_concentration(per_part.join(markets, F.col("l_partkey") == F.col("p_partkey")))
 
 
 @query(
@@ -325,22 +327,35 @@ def buyer_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "supplier_criticality",
-    f"""select l_partkey, count(distinct l_suppkey) as alternatives,
-      {_scale_sql('1.0::double / count(distinct l_suppkey)')} as criticality_score
-    from lineitem group by l_partkey""",
+    f"""with said as (
+      select l_partkey, sum({_count_sql('switching')})::bigint as switching_cues,
+        sum({_count_sql('unique_technology')})::bigint as unique_dependencies
+      from lineitem join notes on doc_id = l_orderkey group by l_partkey)
+    select l_partkey, count(distinct l_suppkey) as alternatives,
+      {_scale_sql('1.0::double / count(distinct l_suppkey)')} as criticality_score,
+      coalesce(any_value(switching_cues), 0) as switching_cues,
+      coalesce(any_value(unique_dependencies), 0) as unique_dependencies
+    from lineitem left join said using (l_partkey) group by l_partkey""",
+    uses=("notes",),
 )
 def supplier_criticality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.supplier_criticality(table(spark, sf_dir, "lineitem"))
+    return ops.supplier_criticality(table(spark, sf_dir, "lineitem"), notes(spark, sf_dir), CUES)
 
 
 @query(
     "cost_volatility",
-    """select l_partkey, round(avg(l_extendedprice / l_quantity), 4) as mean_unit_cost,
-      round(stddev_samp(l_extendedprice / l_quantity) / avg(l_extendedprice / l_quantity), 4) as volatility
-    from lineitem group by l_partkey""",
+    f"""with said as (
+      select l_partkey, count(cost) as stated, round(avg(cost), 4) as stated_unit_cost
+      from lineitem join (select doc_id, {_first_sql(ops.UNIT_COST)} as cost from notes) on doc_id = l_orderkey
+      group by l_partkey)
+    select l_partkey, round(avg(l_extendedprice / l_quantity), 4) as mean_unit_cost,
+      round(stddev_samp(l_extendedprice / l_quantity) / avg(l_extendedprice / l_quantity), 4) as volatility,
+      coalesce(any_value(stated), 0) as stated, any_value(stated_unit_cost) as stated_unit_cost
+    from lineitem left join said using (l_partkey) group by l_partkey""",
+    uses=("notes",),
 )
 def cost_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.cost_volatility(table(spark, sf_dir, "lineitem"))
+    return ops.cost_volatility(table(spark, sf_dir, "lineitem"), notes(spark, sf_dir))
 
 
 @query(
@@ -360,10 +375,18 @@ _THREATS = ("alternative", "parity", "price", "adoption", "behaviour")
 
 @query(
     "threat_matrix",
-    f"""with {_hits_sql([c for c in CUES if c[0] in _THREATS], 'entity_id')}
+    f"""with {_hits_sql([c for c in CUES if c[0] in _THREATS], 'entity_id, ts')},
+    newest as (select year(max(ts)) as y from notes),
+    aged as (
+      select hits.*, y - year(ts) as age, cue_group in ('behaviour', 'adoption') as changed
+      from hits cross join newest)
     select c_mktsegment as industry,
-      {", ".join(f"count(*) filter (cue_group = '{g}') as {g}" for g in _THREATS)}
-    from hits join customer on c_custkey = entity_id group by 1""",
+      {", ".join(f"count(*) filter (cue_group = '{g}') as {g}" for g in _THREATS)},
+      round(count(*) filter (cue_group = 'alternative' and age = 0)
+        / nullif(count(*) filter (cue_group = 'alternative' and age = 1), 0) - 1, 4) as alternative_growth,
+      round(count(*) filter (changed and age = 0) / nullif(count(*) filter (age = 0), 0)
+        - count(*) filter (changed and age = 1) / nullif(count(*) filter (age = 1), 0), 4) as preference_shift
+    from aged join customer on c_custkey = entity_id group by 1""",
     uses=("notes",),
 )
 def threat_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

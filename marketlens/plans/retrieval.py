@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors
 from ..operators import chunks, neighbours, retrieval as ops
+from ..sources import files, vector_store
+from ..sources.scratch import scratch_path
 from ..sources.tables import derived, table
 from . import dimensions as dim
 from . import sql_text as q
@@ -151,10 +153,10 @@ def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding")
 
 
-def label_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_hits(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
     return neighbours.nearest(
         label_queries(spark, sf_dir),
-        table(spark, sf_dir, "embeddings"),
+        table(spark, sf_dir, "embeddings") if index is None else index,
         query_columns=("label", "embedding"),
     )
 
@@ -269,10 +271,11 @@ contexts as (
 """
 
 
-def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = label_queries(spark, sf_dir).select("label", F.col("embedding").alias("v"))
-    few = neighbours.bounded_queries(asked) is not None
-    return ops.retrieve_context(label_hits(spark, sf_dir), embedded_chunks(spark, sf_dir), few=few)
+def contexts(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
+    """Hits are written first: their size is then known, and Spark broadcasts them under its threshold."""
+    path = scratch_path(spark, "hits")
+    label_hits(spark, sf_dir, index).write.parquet(path)
+    return ops.retrieve_context(spark.read.parquet(path), embedded_chunks(spark, sf_dir))
 
 
 @query(
@@ -294,13 +297,21 @@ _NAMES_SQL = dim.sql_values(
 @query(
     "answer_requests",
     f"""with {_CONTEXT_SQL}, {_TEMPLATES_SQL}, {_NAMES_SQL}
-    select query_id::bigint as query_id, force, replace(template, '{{context}}', context) as prompt
+    select query_id::bigint as query_id, force, replace(template, '{{context}}', context)
+      || chr(10) || 'Question: What of label ' || query_id || '?' as prompt
     from contexts join names on ix = query_id % 5 join templates using (force)""",
 )
 def answer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts for questions asked of a stored index, which is opened by its name."""
+    path = scratch_path(spark, "answers")
+    items = table(spark, sf_dir, "embeddings").withColumn("index_name", F.lit("items"))
+    files.write_partitioned(items, path, "index_name", mode="append")
+    index = vector_store.load(spark, path, "items")
     names = F.element_at(F.array(*map(F.lit, _FORCE_NAMES)), (F.col("query_id") % 5 + 1).cast("int"))
-    requests = contexts(spark, sf_dir).withColumn("force_name", names)
-    rendered = ops.render_prompt(requests, dim.forces(spark), dim.templates(spark))
+    question = F.concat(F.lit("What of label "), F.col("query_id").cast("string"), F.lit("?"))
+    requests = contexts(spark, sf_dir, index).withColumns({"force_name": names, "question": question})
+    templates = dim.templates(spark).withColumn("template", F.concat("template", F.lit("\nQuestion: {question}")))
+    rendered = ops.render_prompt(requests, dim.forces(spark), templates, question="question")
     return rendered.select("query_id", "force", "prompt")
 
 

@@ -57,7 +57,7 @@ def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "response_normalize",
     f"""select idea_id, case when json_valid(response)
-      then replace(json_pretty(response), '    ', '  ') else {q.strip('response')} end as normalized
+      then json(response)::varchar else {q.strip('response')} end as normalized
     from responses""",
     uses=("responses",),
 )

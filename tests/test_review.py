@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions.html import html_to_text, unescape
+from marketlens.functions.parsing import response_normalize
 from marketlens.operators import cues, neighbours, retrieval
+from marketlens.plans import dimensions as dim
 
 
 @pytest.mark.parametrize("options", [{}, {"broadcast_values": 1, "block_rows": 8}])
@@ -49,10 +51,28 @@ def test_any_number_of_attributes(spark):
 def test_request_ids_of_any_type_and_repeated_terms(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "red red hen"), (3, "blue")], "id long, t string")
     terms = spark.createDataFrame([("q-a", "red"), ("q-a", "red"), ("q-b", "hen")], "request_id string, term string")
-    few = retrieval.bm25(docs, terms, "id", "t").collect()
-    many = retrieval.bm25(docs, terms, "id", "t", few_terms=1).collect()
-    key = lambda r: (r["request_id"], r["rank"], r["id"], r["score"])
-    assert sorted(map(key, few)) == sorted(map(key, many)) and {r["request_id"] for r in few} == {"q-a", "q-b"}
+    got = {(r["request_id"], r["rank"]): r["id"] for r in retrieval.bm25(docs, terms, "id", "t").collect()}
+    assert got == {("q-a", 1): 2, ("q-a", 2): 1, ("q-b", 1): 2}
+    empty = retrieval.bm25(docs.limit(0), terms, "id", "t")
+    assert empty.count() == 0 and retrieval.bm25(docs, terms.limit(0), "id", "t").count() == 0
+
+
+def test_responses_are_compact_json_or_text(spark):
+    rows = {
+        '{"b": 1, "a": {"n": 1.5}}': '{"b":1,"a":{"n":1.5}}', "[1, 2]": "[1,2]", ' "a b" ': '"a b"', "null": "null",
+        '{"a": 1} and more': '{"a": 1} and more', "1, 2": "1, 2", "1] [2": "1] [2", "1}{": "1}{",
+        "{'a':1}": "{'a':1}", " plain ": "plain", "": "",
+    }
+    df = spark.createDataFrame([(r,) for r in rows] + [(None,)], "r string")
+    got = {r["r"]: r["n"] for r in df.select("r", response_normalize("r").alias("n")).collect()}
+    assert got == rows | {None: None}
+
+
+def test_contexts_and_questions_are_not_filled(spark):
+    asked = spark.createDataFrame([("Rivalry", "about {question}", "why {context}?")], "force_name string, context string, question string")
+    templates = spark.createDataFrame([("rivalry", "{context} | {question}")], "force string, template string")
+    out = retrieval.render_prompt(asked, dim.forces(spark), templates, question="question").first()["prompt"]
+    assert out == "about {question} | why {context}?"
 
 
 def test_large_vocabularies_of_cues(spark):
