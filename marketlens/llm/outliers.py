@@ -4,7 +4,8 @@ Each document becomes a vector of transformed text statistics. Per language and
 minimum-covariance-determinant estimate is found by concentration steps: from robust
 medians and spreads, keep the share of rows nearest by Mahalanobis distance, estimate mean
 and covariance from them, and repeat. A document is rejected when its distance under the
-last estimate is beyond the cut.
+last estimate is beyond the cut. A group with few rows is judged by the estimate over all
+sources of its language, and a language with few rows by the one over all documents.
 
 Statistics are kept as integers on a grid of 1/1024, so sums are exact and reruns agree.
 A quantile is found from counts of grid values per group: no group is sorted or gathered.
@@ -26,7 +27,7 @@ STEPS = 3
 # Squared distance beyond which a document is rejected, and the least spread of each statistic:
 # what varies less than this is not told from noise.
 CUT = 60.0
-# Groups with fewer rows than this have no estimate and reject nothing.
+# Groups with fewer rows than this are judged by the estimate of a wider pool of rows.
 LEAST_ROWS = 40
 REPEAT_WINDOW = 8  # joined from pairs, fours and eights
 
@@ -239,6 +240,46 @@ def estimates(rows: DataFrame, group: list[str], support: float = SUPPORT, steps
     return params
 
 
+def _pools(rows: DataFrame, least_rows: int) -> DataFrame:
+    """Per group the ``level`` of the rows that judge it: 0 its own, 1 its language's, 2 all;
+    and the pools its rows belong to: ``own``, ``wide`` (the language), ``every``.
+
+    The widest pool is used however few rows it has.
+    """
+    sizes = materialise(rows.groupBy("g0", "g1").agg(F.count(F.when(~F.col("failed"), 1)).alias("n")), "mcd-sizes")
+    languages = sizes.groupBy("g0").agg(F.sum("n").alias("all"), F.max(F.col("n") < least_rows).alias("few"))
+    level = F.when(F.col("n") >= least_rows, 0).when(F.col("all") >= least_rows, 1).otherwise(2)
+    known = materialise(
+        sizes.alias("s").join(languages.alias("a"), F.col("s.g0").eqNullSafe(F.col("a.g0"))).select(
+            "s.g0", "s.g1", level.alias("level"), (F.col("n") >= least_rows).alias("own"),
+            (F.col("few") & (F.col("all") >= least_rows)).alias("wide"),
+        ),
+        "mcd-pools",
+    )
+    return known.withColumn("every", F.lit(not known.where(F.col("level") == 2).isEmpty()))
+
+
+def pooled_estimates(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """Estimates for every g0 and g1 of ``rows(g0, g1, failed, x*)``, from the narrowest pool with
+    ``least_rows`` rows that pass, or else from all of them."""
+    pools = _pools(rows, least_rows)
+    values, nothing = [f"x{k}" for k in range(DIMENSIONS)], F.lit(None)
+    same = lambda a, b, *names: reduce(lambda x, y: x & y, [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names])
+    pool = lambda k, g0, g1: F.struct(F.lit(k).alias("level"), g0.cast("string").alias("p0"), g1.cast("string").alias("p1"))
+    g0, g1 = F.col("r.g0"), F.col("r.g1")
+    member = F.array_compact(F.array(
+        F.when(F.col("p.own"), pool(0, g0, g1)), F.when(F.col("p.wide"), pool(1, g0, nothing)), F.when(F.col("p.every"), pool(2, nothing, nothing))
+    ))
+    passed = rows.where(~F.col("failed")).select("g0", "g1", *values)
+    members = passed.alias("r").join(small(pools).alias("p"), same("r", "p", "g0", "g1")).select(F.explode(member).alias("pool"), *values)
+    params = estimates(members.select("pool.*", *values), ["level", "p0", "p1"], support, steps, 1)
+    asked = pools.select(
+        "g0", "g1", "level", F.when(F.col("level") < 2, F.col("g0").cast("string")).alias("p0"), F.when(F.col("level") < 1, F.col("g1").cast("string")).alias("p1")
+    )
+    found = asked.alias("a").join(params.alias("e"), same("a", "e", "level", "p0", "p1"))
+    return materialise(found.select("a.g0", "a.g1", *[f"e.{c}" for c in params.columns if c not in ("level", "p0", "p1")]), "mcd-groups")
+
+
 def judge(
     documents: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
     cut: float = CUT, support: float = SUPPORT, steps: int = STEPS, least_rows: int = LEAST_ROWS,
@@ -246,16 +287,16 @@ def judge(
     """``row`` (the document), the counts of its text, base_failed, distance and kept.
 
     Documents that fail the base rules take no part in the estimates. Null languages and
-    sources are groups of their own. Groups too small for an estimate keep what the base
-    rules keep (their distance is null). Repeated rows count as often as they occur.
+    sources are groups of their own. Groups with fewer than ``least_rows`` rows are judged by
+    their language's estimate or else by that over all documents. The distance is null only
+    where no document passes the base rules. Repeated rows count as often as they occur.
     """
     counted = materialise(text_statistics(documents, text), "mcd-statistics")
     rows = counted.withColumn("failed", base_failed()).select(
         "*", F.col(f"row.{lang}").alias("g0"), F.col(f"row.{source}").alias("g1"), *_vector()
     )
-    group = ["g0", "g1"]
-    params = estimates(rows.where(~F.col("failed")).select(*group, *[f"x{k}" for k in range(DIMENSIONS)]), group, support, steps, least_rows)
-    far = _distance(rows, small(params), group)
+    params = pooled_estimates(rows, support, steps, least_rows)
+    far = _distance(rows, small(params), ["g0", "g1"])
     return far.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.col("failed").alias("base_failed"), F.col("d2").alias("distance"),

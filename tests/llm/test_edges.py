@@ -190,6 +190,19 @@ def test_outliers_against_numpy(spark):
     assert np.allclose([got[f"l{i}_{j}"] for i in range(d) for j in range(i + 1)], [factor[i, j] for i in range(d) for j in range(i + 1)], rtol=1e-4, atol=1e-3)
 
 
+@pytest.mark.parametrize("large", [0, 12, 60])
+def test_outliers_of_small_groups(spark, large):
+    """Junk that passes the base rules is rejected in groups, languages and tables of any size."""
+    good = lambda i: " ".join(f"word{(i * 7 + j) % 97}" for j in range(40)) + "."
+    junk = " ".join(f"#$%&|<>{j}" for j in range(40))
+    rows = [(i, good(i), "en", "a") for i in range(large)]
+    rows += [(100 + i, good(i), "en", "b") for i in range(4)] + [(200 + i, good(i), "xx", None) for i in range(4)]
+    rows += [(900, junk, "en", "b"), (901, junk, "xx", None)]
+    got = outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and not any(r["base_failed"] for r in got)
+    assert {r["row"]["doc_id"] for r in got if not r["kept"]} == {900, 901}
+
+
 def test_mixing(docs, none):
     rows = mixing.with_copies(docs).collect()
     assert len(rows) == len(TEXTS) and mixing.mix(docs).columns == docs.columns and mixing.mix(none).count() == 0
