@@ -28,7 +28,6 @@ WINDOW = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 8
 K1, B = 1.2, 0.75
 # Words of which a task remembers the ids; two generations of this size are kept.
 CACHE_WORDS = 450_000
@@ -155,21 +154,19 @@ class Shard:
         self.posted, self.posted_weight = self.row[by_term], self.weight[by_term]
         self.first_post = np.searchsorted(self.term[by_term], np.arange((1 << 16) + 1))
         self.used = np.zeros(len(ids), bool)
-        self.scores = np.zeros(len(ids))
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a term of the seed's strongest, best first."""
+        """Unused documents that share any term of the seed, best first."""
         low, high = self.first_term[seed], self.first_term[seed + 1]
-        at = low + np.flatnonzero(self.shared[low:high])
-        if len(at) > QUERY_TERMS:
-            at = at[np.argsort(-self.weight[at], kind="stable")[:QUERY_TERMS]]
-        self.scores[:] = 0.0
-        for t in self.term[at]:
-            posts = slice(self.first_post[t], self.first_post[t + 1])
-            self.scores[self.posted[posts]] += self.posted_weight[posts]
-        self.scores[self.used] = 0.0
-        found = np.flatnonzero(self.scores)
-        return found[np.argsort(-self.scores[found], kind="stable")]
+        terms = self.term[low:high][self.shared[low:high]]
+        starts = self.first_post[terms]
+        counts = self.first_post[terms + 1] - starts
+        ends = np.cumsum(counts)
+        at = np.arange(counts.sum()) + np.repeat(starts - ends + counts, counts)
+        scores = np.bincount(self.posted[at], self.posted_weight[at], len(self.used))
+        scores[self.used] = 0.0
+        found = np.flatnonzero(scores)
+        return found[np.argsort(-scores[found], kind="stable")]
 
     def order(self, window: int = WINDOW) -> list[int]:
         out: list[int] = []

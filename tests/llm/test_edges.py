@@ -143,6 +143,17 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_scores_all_terms_of_a_seed():
+    """A document that shares only one of a seed's weak terms comes before strangers."""
+    strong = list(range(100, 108))
+    seed = np.array([*strong * 9, 50], np.uint16)
+    strangers = [np.array([200 + i], np.uint16) for i in range(3)]
+    ids = [seed, *strangers, np.array([50, 300], np.uint16), np.array(strong, np.uint16)]
+    assert packing.Shard(ids).order(1 << 12)[:3] == [0, 5, 4]
+    shard = packing.Shard(ids)
+    assert list(shard.neighbours(0)) == [0, 5, 4]
+
+
 def test_secrets(spark, docs, none, tmp_path):
     path = str(tmp_path / "ledger")
     ledger = secrets.update_ledger(docs, path)
