@@ -102,10 +102,11 @@ class Words:
     """Word places in the UTF-8 bytes of a string column.
 
     ``start``/``end`` are byte places, ``row`` the row of each word, ``first[r]:first[r+1]``
-    the words of row r. Null rows have no words.
+    the words of row r. Null rows have no words. ``gap`` marks the bytes between words, white
+    space unless told otherwise; it is asked after letters are lowered.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, gap: np.ndarray = _GAP):
         column = pc.fill_null(column, "").cast(pa.large_string())
         buffers = column.buffers()
         offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -114,7 +115,7 @@ class Words:
         data = np.frombuffer(raw, np.uint8)[low:high] if raw is not None else np.empty(0, np.uint8)
         self.offsets = offsets - low
         self.data = LOWER[data] if lower else data
-        inside = ~_GAP[self.data]
+        inside = ~gap[self.data]
         edges = self.offsets[:-1][self.offsets[:-1] < len(data)]
         before = np.empty_like(inside)
         before[1:] = inside[:-1]
