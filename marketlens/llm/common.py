@@ -45,6 +45,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete the folder of a table from ``materialise`` that nothing will read again."""
+    files = written.inputFiles()
+    if files:
+        jvm = written.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(written.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a written table when counting shows it is within the bound; else leave it to the planner."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

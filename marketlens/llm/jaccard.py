@@ -5,14 +5,14 @@ digest). The global order goes from rare n-grams to common ones, by a count sket
 size and then by hash; any order is exact, this one keeps common passages out of the way.
 
 The order is cut into fragments. The first one of each set, its prefix, must meet the prefix
-of every set similar enough; sets that share a prefix n-gram form a bucket. Partial overlaps
-are counted per fragment and pair, and summed per pair.
-
-A crowd of near copies is not paired off: first every class is compared with one head of its
-buckets, then members of crowded buckets with a few random others, and components of the
-links found are merged. Only pairs in a bucket whose components still differ are then
-listed, all of them; those whose overlap in the prefixes rules out the threshold go, the
-rest are counted in full. So no link between components is missed.
+of every set similar enough; sets that share a prefix n-gram form a bucket. The pairs of a small
+bucket are listed as it streams by. Partial overlaps are counted per fragment and pair, and
+summed per pair; pairs whose overlap in the prefixes rules out the threshold are not counted.
+
+A crowded bucket is not paired off: its classes are compared with hubs, the members with the
+most links so far, and with a few others, and components of the links found are merged. Only
+pairs whose components still differ are then listed, each in the first n-gram it shares. So no
+link between components is missed.
 """
 
 from __future__ import annotations
@@ -24,14 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Words, gram_hashes, materialise, mix64, signed, slices, small
+from .common import Words, discard, gram_hashes, materialise, mix64, signed, slices, small
 from .components import components
 
 CELLS = 1 << 20
 BLOCK = 1 << 14
 FRAGMENTS = 4
 CROWD = 64
-CROWD_ROUNDS = 3
+CROWD_ROUNDS = 2
+# Hubs a class of a crowded bucket is compared with in one round.
+HUBS = 4
+# First n-grams of a class that travel with its rows, to tell where a pair has met before.
+HEADS = 8
 # Classes whose texts are looked up by a broadcast of their ids; beyond, by a join.
 LOOKUP_ROWS = 300_000
 
@@ -135,34 +139,111 @@ def _prefixes(n: int, percent: int, cells):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by n-gram and class, those whose n-gram two classes share, each class
-    once, with the first class of the bucket. One row is held over between batches."""
-    held = None
-    gram, last, head, emitted = None, None, None, False
-    for batch in batches:
-        grams = batch.column("gram").to_numpy()
-        same = np.zeros(len(grams), bool)
-        same[1:] = grams[1:] == grams[:-1]
-        maybe = same.copy()
-        maybe[:-1] |= same[1:]
-        if len(grams):  # the edges may continue in the batch before or after
-            maybe[0] = maybe[-1] = True
-        part = batch.filter(pa.array(maybe))
-        out = []
-        for row in zip(*(part.column(c).to_pylist() for c in ("gram", "class", "n", "place")), strict=True):
-            if row[0] != gram:
-                gram, last, head, held, emitted = row[0], row[1], row[1], row, False
-            elif row[1] != last:
-                last = row[1]
-                if not emitted:
-                    out.append((*held, head))
-                    emitted = True
-                out.append((*row, head))
-        if out:
-            columns = list(zip(*out, strict=True))
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["gram", "class", "n", "place", "head"])
+def _needed(na, nb, percent: int):
+    """Least overlap of two similar sets of these sizes."""
+    return -(-percent * (na + nb) // (100 + percent))
+
+
+class _Run:
+    """Rows of a batch sorted by n-gram and class: numbers by numpy, class names as pairs of 64-bit words."""
+
+    def __init__(self, gram, name, n, place):
+        self.gram, self.name, self.n, self.place = gram, name, n, place
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch) -> _Run:
+        column = batch.column("class")
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[16 * column.offset : 16 * (column.offset + len(column))]
+        return cls(batch.column("gram").to_numpy(), raw.view(np.uint64).reshape(-1, 2), batch.column("n").to_numpy(), batch.column("place").to_numpy())
+
+    def __len__(self) -> int:
+        return len(self.gram)
+
+    def take(self, which) -> _Run:
+        return _Run(self.gram[which], self.name[which], self.n[which], self.place[which])
+
+    def after(self, other: _Run | None) -> _Run:
+        if other is None:
+            return self
+        return _Run(*(np.concatenate([getattr(other, f), getattr(self, f)]) for f in ("gram", "name", "n", "place")))
+
+    def single(self) -> _Run:
+        """One row of each n-gram and class."""
+        keep = np.ones(len(self), bool)
+        keep[1:] = (self.gram[1:] != self.gram[:-1]) | (self.name[1:] != self.name[:-1]).any(axis=1)
+        return self.take(keep)
+
+
+_MET = "gram long, a binary, b binary, na int, nb int, place int, near boolean"
+
+
+def _names(name: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(name), [None, pa.py_buffer(np.ascontiguousarray(name).tobytes())]).cast(pa.binary())
+
+
+def _members(rows: _Run) -> pa.RecordBatch:
+    none = len(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows.gram), _names(rows.name), pa.nulls(none, pa.binary()), pa.array(rows.n, pa.int32()), pa.nulls(none, pa.int32()), pa.array(rows.place, pa.int32()), pa.nulls(none, pa.bool_())],
+        names=["gram", "a", "b", "na", "nb", "place", "near"],
+    )
+
+
+def _pairs(rows: _Run, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one n-gram whose sizes fit, and whether they may first meet there."""
+    for step in range(1, CROWD):
+        i = np.flatnonzero(rows.gram[step:] == rows.gram[:-step])
+        if not len(i):
+            return
+        x, y = rows.take(i), rows.take(i + step)
+        fit = 100 * np.minimum(x.n, y.n).astype(np.int64) >= percent * np.maximum(x.n, y.n).astype(np.int64)
+        x, y = x.take(fit), y.take(fit)
+        if len(x):
+            near = 1 + np.minimum(x.n - x.place - 1, y.n - y.place - 1) >= _needed(x.n.astype(np.int64), y.n.astype(np.int64), percent)
+            none = len(x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(none, pa.int64()), _names(x.name), _names(y.name), pa.array(x.n, pa.int32()), pa.array(y.n, pa.int32()), pa.nulls(none, pa.int32()), pa.array(near)],
+                names=["gram", "a", "b", "na", "nb", "place", "near"],
+            )
+
+
+def _buckets(percent: int):
+    """From rows sorted by n-gram and class: the pairs of buckets of at most CROWD classes (b is set),
+    the rows of larger ones (b is null). At most CROWD rows are held over between batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, crowded = None, None, None
+
+        def handed(rows: _Run, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            # the bucket that was crowded before stays so
+            crowd = (np.repeat(sizes, sizes) > CROWD) | (rows.gram == crowded if crowded is not None else False)
+            if crowd.any():
+                yield _members(rows.take(crowd))
+            few = rows.take(~crowd & (np.repeat(sizes, sizes) > 1))
+            if len(few):
+                yield from _pairs(few, percent)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _Run.read(batch).after(held).single()
+            if last is not None and held is None and rows.gram[0] == last.gram[0] and (rows.name[0] == last.name[0]).all():
+                rows = rows.take(slice(1, None))
+                if not len(rows):
+                    continue
+            starts = np.flatnonzero(np.concatenate([[True], rows.gram[1:] != rows.gram[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(rows)]]))
+            last = rows.take(slice(-1, None))
+            open_bucket = last.gram[0] != crowded and sizes[-1] <= CROWD
+            held = rows.take(slice(starts[-1], None)) if open_bucket else None
+            if open_bucket:
+                rows, sizes = rows.take(slice(0, starts[-1])), sizes[:-1]
+            yield from handed(rows, sizes)
+            crowded = None if open_bucket else last.gram[0]
+        if held is not None:
+            yield from handed(held, np.array([len(held)]))
+
+    return run
 
 
 def _fragments(n: int, cells):
@@ -198,112 +279,158 @@ def similar_enough(overlap: Column, na: Column, nb: Column, percent: int) -> Col
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
-def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int, cells) -> DataFrame:
     """The written pairs(a, b, na, nb) that reach the threshold: overlaps per fragment, summed per pair.
 
-    Only the sets of classes in the pairs move; one of them travels with each pair.
+    Only the sets of classes in the pairs are made, from one document each, and moved; one of
+    them travels with each pair.
     """
-
-    def side(name: str) -> DataFrame:
-        needed = small(pairs.select(F.col(name).alias("class")).distinct(), LOOKUP_ROWS)
-        met = fragments.join(needed, "class", "left_semi")
-        return met.select(F.col("class").alias(name), "fragment", F.col("grams").alias(f"grams_{name}"))
-
-    partial = pairs.join(side("a"), "a").join(side("b"), ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", "grams_a", "grams_b")
+    names = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    needed = materialise(names.join(classes, "class").select("class", F.col("doc_id").alias("d"), F.col("version").alias("v")), "jaccard-needed")
+    wanted = small(needed, LOOKUP_ROWS)
+    fragments = materialise(
+        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["version"] == wanted["v"])).select("class", "text").mapInArrow(_fragments(n, cells), "class binary, fragment int, grams binary"),
+        "jaccard-fragments",
+    )
+    one, two = (fragments.select(F.col("class").alias(x), "fragment", F.col("grams").alias(f"grams_{x}")) for x in ("a", "b"))
+    partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", "grams_a", "grams_b")
     counted = partial.mapInArrow(_overlaps, "a binary, b binary, na int, nb int, fragment int, overlap long")
     # a fragment counts once, also where a repeated row gave it twice
     overlap = [F.coalesce(F.max(F.when(F.col("fragment") == f, F.col("overlap"))), F.lit(0)) for f in range(FRAGMENTS)]
     summed = counted.groupBy("a", "b", "na", "nb").agg(reduce(lambda x, y: x + y, overlap).alias("overlap"))
-    return summed.where(similar_enough(F.col("overlap"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    links = materialise(summed.where(similar_enough(F.col("overlap"), F.col("na"), F.col("nb"), percent)).select("a", "b"), "jaccard-links")
+    for done in (needed, fragments, pairs):
+        discard(done)
+    return links
 
 
-def _plausible(met: DataFrame, percent: int) -> DataFrame:
-    """From pairs(a, b, na, nb, met), ``met`` the overlap of the prefixes, those that can reach the
-    threshold: beyond the shorter-reaching prefix at most the rest of its set can be shared."""
-    enough = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+def _can_reach(met: Column, percent: int) -> Column:
+    """Whether sets whose prefixes overlap in ``met`` can be similar: beyond the shorter-reaching prefix
+    at most the rest of its set can be shared."""
     rest = F.greatest(*[F.ceil(F.lit(percent) * F.col(c) / 100) - 1 for c in ("na", "nb")])
-    return materialise(met.where(F.col("met") + rest >= enough).select("a", "b", "na", "nb"), "jaccard-pairs")
-
-
-def _prefix_overlaps(pairs: DataFrame, buckets: DataFrame) -> DataFrame:
-    one = buckets.select(F.col("class").alias("a"), "gram")
-    two = buckets.select(F.col("class").alias("b"), "gram")
-    return pairs.join(one, "a").join(two, ["b", "gram"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
+    return met + rest >= F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
 
 
 def _lengths_fit(na: str, nb: str, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def _with_components(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Buckets in which more than one component is left, with the component of every member."""
-    labels = components(links).select(F.col("node").alias("class"), "label")
-    marked = buckets.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    mixed = marked.groupBy("gram").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members")).where("least <> most")
-    return materialise(marked.join(mixed.select("gram", "members"), "gram"), "jaccard-buckets")
+def _ordered(x: str, y: str) -> list[Column]:
+    """Columns a, b, na, nb of a pair of structs (class, n), the smaller name first."""
+    first = F.col(f"{x}.class") < F.col(f"{y}.class")
+    pick = lambda field, here, there: F.when(first, F.col(f"{here}.{field}")).otherwise(F.col(f"{there}.{field}"))
+    return [pick("class", x, y).alias("a"), pick("class", y, x).alias("b"), pick("n", x, y).alias("na"), pick("n", y, x).alias("nb")]
+
+
+def _crowds(rows: DataFrame) -> DataFrame:
+    """Written rows of crowded buckets: n-gram, class, size, the class's n-grams here, and those before this one.
+
+    Of the earlier n-grams the first HEADS are kept.
+    """
+    grams = F.transform(F.sort_array(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"])
+    lists = rows.groupBy("class", "n").agg(grams.alias("grams"), F.collect_list("place").alias("places"))
+    place = F.posexplode(F.arrays_zip("grams", F.sort_array("places").alias("places")))
+    return materialise(
+        lists.select("class", "n", F.size("grams").alias("met_in"), F.slice("grams", 1, HEADS).alias("heads"), place.alias("at", "g")).select(
+            "class", "n", "met_in", F.col("g.grams").alias("gram"), F.col("g.places").alias("place"), F.when(F.col("at") > 0, F.slice("heads", F.lit(1), F.least("at", F.lit(HEADS)))).otherwise(F.array().cast("array<bigint>")).alias("earlier")
+        ),
+        "jaccard-crowds",
+    )
+
+
+def _mixed(crowds: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of crowded buckets in which more than one component is left, with components and degrees."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("degree"))
+    known = components(links).select(F.col("node").alias("class"), "label").join(ends, "class")
+    marked = crowds.join(known, "class", "left").withColumns({"label": F.coalesce("label", "class"), "degree": F.coalesce("degree", F.lit(0))})
+    mixed = marked.groupBy("gram").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    return materialise(marked.join(mixed.select("gram"), "gram", "left_semi"), "jaccard-mixed")
+
+
+def _tries(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs worth a look: each class with the hubs of its buckets that most of them name, and with two others.
+
+    A hub has the most links of its bucket; at first, the least of its own, which is the most in common.
+    """
+    me = F.struct("class", "n", "label")
+    worth = F.struct("degree" if turn else F.col("met_in") - F.ceil(F.col("n") * (100 - percent) / 100), F.xxhash64("class", F.lit(turn)))
+    hubs = mixed.groupBy("gram").agg(F.max_by(me, worth).alias("y"))
+    shuffled = Window.partitionBy("gram").orderBy(F.xxhash64("class", "gram", F.lit(turn)))
+    found = []
+    for pairs, keep in (
+        (mixed.select("gram", me.alias("x")).join(hubs, "gram"), HUBS),
+        (mixed.select(me.alias("x"), F.lag(me).over(shuffled).alias("y")), 2),
+    ):
+        votes = pairs.where((F.col("x.label") != F.col("y.label")) & _lengths_fit("x.n", "y.n", percent)).groupBy("x", "y").agg(F.count("*").alias("votes"))
+        best = Window.partitionBy("x.class").orderBy(F.col("votes").desc(), F.xxhash64("x.class", "y.class"))
+        found.append(votes.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).select(*_ordered("x", "y")))
+    return found[0].unionByName(found[1]).distinct()
+
+
+def _crowd_links(crowds: DataFrame, small_met: DataFrame, links: DataFrame, verify, percent: int) -> DataFrame:
+    """Links that join the components left apart in crowded buckets."""
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Overlap of the prefixes: in crowded buckets counted here, in small ones before."""
+        pairs = materialise(pairs, "jaccard-tries")
+        one, two = (crowds.select(F.col("class").alias(x), "gram") for x in ("a", "b"))
+        here = pairs.join(one, "a").join(two, ["b", "gram"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("here"))
+        met = here.join(small_met.select("a", "b", "met"), ["a", "b"], "left").where(_can_reach(F.col("here") + F.coalesce("met", F.lit(0)), percent))
+        out = materialise(met.select("a", "b", "na", "nb"), "jaccard-pairs")
+        discard(pairs)
+        return out
+
+    mixed = _mixed(crowds, links)
+    for turn in range(CROWD_ROUNDS):
+        if mixed.isEmpty():
+            return links
+        links = materialise(links.unionByName(verify(plausible(_tries(mixed, turn, percent)))), "jaccard-links")
+        discard(mixed)
+        mixed = _mixed(crowds, links)
+
+    one, two = mixed.alias("s"), mixed.alias("t")
+    # a pair is listed once: where it shares an earlier n-gram, or could no longer share enough, it goes
+    left = F.least(F.col("s.n") - F.col("s.place"), F.col("t.n") - F.col("t.place"))
+    listed = one.join(
+        two,
+        (F.col("s.gram") == F.col("t.gram")) & (F.col("s.class") < F.col("t.class")) & (F.col("s.label") != F.col("t.label"))
+        & _lengths_fit("s.n", "t.n", percent) & (left >= F.ceil(F.lit(percent) * (F.col("s.n") + F.col("t.n")) / F.lit(100 + percent)))
+        & ~F.arrays_overlap("s.earlier", "t.earlier"),
+    ).select(F.col("s.class").alias("a"), F.col("t.class").alias("b"), F.col("s.n").alias("na"), F.col("t.n").alias("nb"))
+    links = materialise(links.unionByName(verify(plausible(listed.distinct()))), "jaccard-links")
+    discard(mixed)
+    return links
 
 
 def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int, cells) -> DataFrame:
     """Links (a, b) between classes that join everything the similarity joins."""
     texts = documents.select("doc_id", "version", "text")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, texts, classes, n, percent, cells)
+
     buckets = materialise(
         texts.select("text").mapInArrow(_prefixes(n, percent, cells), "gram long, class binary, n int, place int")
         .repartition(F.col("gram")).sortWithinPartitions("gram", "class")
-        .mapInArrow(_shared, "gram long, class binary, n int, place int, head binary"),
+        .mapInArrow(_buckets(percent), _MET),
         "jaccard-buckets",
     )
-
-    # texts of the classes that share anything, one document each
-    needed = materialise(
-        buckets.select("class").distinct().join(classes, "class").select("class", F.col("doc_id").alias("d"), F.col("version").alias("v")), "jaccard-needed"
-    )
-    wanted = F.broadcast(needed) if needed.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else needed
-    fragments = materialise(
-        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["version"] == wanted["v"])).select("class", "text").mapInArrow(_fragments(n, cells), "class binary, fragment int, grams binary"),
-        "jaccard-fragments",
-    )
-
-    def ranked(pairs: DataFrame, keep: int) -> DataFrame:
-        """At most ``keep`` pairs for each first member: which ones does not matter."""
-        best = Window.partitionBy("x").orderBy(F.col("votes").desc(), F.xxhash64("x", "y"))
-        return (
-            pairs.where((F.col("x") != F.col("y")) & _lengths_fit("nx", "ny", percent))
-            .groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("votes"))
-            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
-            .select(
-                F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-                F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"),
-                F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"),
-            ).distinct()
-        )
-
-    sizes = buckets.select("class", "n").distinct()
-    first = buckets.where("class <> head").select(F.col("class").alias("x"), F.col("head").alias("y"), F.col("n").alias("nx")).join(
-        sizes.select(F.col("class").alias("y"), F.col("n").alias("ny")), "y"
+    small_met = materialise(
+        buckets.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"), F.max("near").alias("near")), "jaccard-met"
     )
-    plausible = _plausible(_prefix_overlaps(ranked(first, 1), buckets), percent)
-    links = materialise(_verified(plausible, fragments, percent), "jaccard-links")
-    left = _with_components(buckets.drop("head"), links)
-    for turn in range(CROWD_ROUNDS):
-        crowded = left.where(F.col("members") > CROWD)
-        if crowded.isEmpty():
-            break
-        shuffled = Window.partitionBy("gram").orderBy(F.xxhash64("class", "gram", F.lit(turn)))
-        ring = crowded.select(
-            F.col("class").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.lag(F.struct("class", "n", "label")).over(shuffled).alias("p")
-        ).where(F.col("p.label") != F.col("lx")).select("x", "nx", F.col("p.class").alias("y"), F.col("p.n").alias("ny"))
-        plausible = _plausible(_prefix_overlaps(ranked(ring, 3), crowded), percent)
-        links = materialise(links.unionByName(_verified(plausible, fragments, percent)), "jaccard-links")
-        left = _with_components(left.drop("label", "members"), links)
-
-    one, two = left.alias("s"), left.alias("t")
-    listed = one.join(
-        two,
-        (F.col("s.gram") == F.col("t.gram")) & (F.col("s.class") < F.col("t.class")) & (F.col("s.label") != F.col("t.label"))
-        & _lengths_fit("s.n", "t.n", percent),
-    ).select(F.col("s.class").alias("a"), F.col("t.class").alias("b"), F.col("s.n").alias("na"), F.col("t.n").alias("nb"))
-    met = listed.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"))
-    return materialise(links.unionByName(_verified(_plausible(met, percent), fragments, percent)), "jaccard-links")
+    rows = buckets.where("b is null").select(F.col("a").alias("class"), F.col("na").alias("n"), "gram", "place")
+    crowds = _crowds(rows)
+    more = materialise(crowds.groupBy("class").agg(F.count("*").alias("more")), "jaccard-crowd-sizes")
+    sizes = [small(more.select(F.col("class").alias(c), F.col("more").alias(f"more_{c}"))) for c in ("a", "b")]
+    both = F.least(*[F.coalesce(f"more_{c}", F.lit(0)) for c in ("a", "b")])
+    # a pair first met in a crowded bucket is listed there
+    likely = small_met.where("near").join(sizes[0], "a", "left").join(sizes[1], "b", "left").where(_can_reach(F.col("met") + both, percent))
+    links = verify(materialise(likely.select("a", "b", "na", "nb"), "jaccard-pairs"))
+    discard(buckets)
+    links = _crowd_links(crowds, small_met, links, verify, percent)
+    for done in (small_met, crowds, more):
+        discard(done)
+    return links
 
 
 def grouped(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -321,7 +448,7 @@ def grouped(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     members = counted.where("block is null").select("doc_id", "version", "n", "class")
     # one document of each class, with an id if there is one
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("first")
-    classes = members.where("class is not null").groupBy("class").agg(first).select("class", "first.doc_id", "first.version")
+    classes = materialise(members.where("class is not null").groupBy("class").agg(first).select("class", "first.doc_id", "first.version"), "jaccard-classes")
     labels = components(_class_links(chosen, classes, n, percent, cells)).withColumnRenamed("node", "class")
     return members.join(labels, "class", "left").select("doc_id", "version", "n", F.coalesce("label", "class").alias("label"))
 
