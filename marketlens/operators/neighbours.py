@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.scratch import scratch_path
+
 # Fixed value: how many neighbours a retrieval returns unless told otherwise.
 DEFAULT_K = 4
 
@@ -16,6 +18,11 @@ DEFAULT_K = 4
 # beyond it both sides are exchanged in blocks.
 BROADCAST_VALUES = 8_000_000
 BLOCK_ROWS = 32_768
+# A first sample of the corpus sets upper bounds; each further pass reads FAN times as much.
+FIRST_ROWS = 262_144
+FAN = 64
+# Cells whose figures are broadcast; their number is known before.
+BROADCAST_CELLS = 1_000_000
 _CELLS_PER_STEP = 4_000_000
 
 
@@ -49,15 +56,15 @@ def rough_distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class _Best:
-    """The k smallest (distance, id) per query seen so far."""
+    """The k smallest (distance, id) per query seen so far, none beyond the query's bound."""
 
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, skip_self: bool):
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, skip_self: bool, bounds: np.ndarray | None = None):
         self.query_ids, self.queries, self.k, self.skip_self = query_ids, queries, k, skip_self
         self.found: list[tuple[np.ndarray, np.ndarray]] = [
             (np.empty(0), np.empty(0, np.int64)) for _ in query_ids
         ]
-        # Distance to beat, per query: infinite until k neighbours are known.
-        self.limits = np.full(len(query_ids), np.inf)
+        # Distance to beat, per query: the bound until k neighbours are known.
+        self.limits = np.full(len(query_ids), np.inf) if bounds is None else bounds.copy()
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         if len(ids) == 0 or len(self.query_ids) == 0:
@@ -83,8 +90,10 @@ class _Best:
         if not near.any():
             return
         best, best_ids = self.found[i]
-        distances = np.concatenate([best, squared_distances(vectors[near], self.queries[i])])
-        ids = np.concatenate([best_ids, ids[near]])
+        exact = squared_distances(vectors[near], self.queries[i])
+        within = exact <= self.limits[i]
+        distances = np.concatenate([best, exact[within]])
+        ids = np.concatenate([best_ids, ids[near][within]])
         order = np.lexsort((ids, distances))[: self.k]
         self.found[i] = (distances[order], ids[order])
         if len(order) == self.k:
@@ -157,8 +166,10 @@ def nearest(
 ) -> DataFrame:
     """``(query_id, item_id, distance, rank)`` of the k nearest under squared L2, ties by id.
 
-    Few queries: their matrix is broadcast, each task scans its part of the
-    corpus once and returns k rows per query. Many queries: ``block_join``.
+    Few queries: their matrix is broadcast and each task scans its part of the corpus. A sample by
+    hash of id, and then a larger one while that is needed, gives every query an upper bound, so
+    the last scan returns about FAN times k rows per query, however many tasks there are.
+    Many queries: ``block_join``.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -167,17 +178,50 @@ def nearest(
     few = bounded_queries(q, broadcast_values)
     if few is None:
         return block_join(q, c, k, skip_self=skip_self, block_rows=block_rows)
-    payload = queries.sparkSession.sparkContext.broadcast(
-        (few.column("id").to_numpy(), _matrix(few.column("v")))
-    )
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*payload.value, k, skip_self)
+    ids, matrix = few.column("id").to_numpy(), _matrix(few.column("v"))
+    bounds, shares = None, sample_shares(c)
+    for share in shares:
+        part = c.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
+        if bounds is None:  # few rows: few tasks return them
+            part = part.repartition(-(-FIRST_ROWS // BLOCK_ROWS))
+        bounds = _bounds(scan(part, ids, matrix, k, skip_self, bounds), ids, k, bounds)
+    return top_k(scan(c, ids, matrix, k, skip_self, bounds), k)
+
+
+def sample_shares(c: DataFrame) -> list[int]:
+    """One row in how many each sample takes, the smallest sample first; none for a small corpus."""
+    if c.limit(FIRST_ROWS + 1).count() <= FIRST_ROWS:
+        return []
+    total, shares = c.count(), [FAN]
+    while total // shares[0] > FIRST_ROWS:
+        shares.insert(0, shares[0] * FAN)
+    return shares
+
+
+def scan(c: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, skip_self: bool, bounds: np.ndarray | None = None) -> DataFrame:
+    """What each task of the corpus ``(id, v)`` finds: at most k rows per query, none beyond its bound."""
+    payload = c.sparkSession.sparkContext.broadcast((ids, matrix, bounds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix, bounds = payload.value
+        best = _Best(ids, matrix, k, skip_self, bounds)
         for batch in map(_present, batches):
             best.add(batch.column(0).to_numpy(), _matrix(batch.column(1)))
         yield _hits(pa.RecordBatch.from_arrays, best)
 
-    return top_k(c.mapInArrow(scan, _HITS), k)
+    return c.mapInArrow(run, _HITS)
+
+
+def _bounds(hits: DataFrame, ids: np.ndarray, k: int, bounds: np.ndarray | None) -> np.ndarray:
+    """Per query the distance of its k-th hit, or the bound it had: as many rows as there are queries."""
+    out = np.full(len(ids), np.inf) if bounds is None else bounds.copy()
+    worst = top_k(hits, k).filter(F.col("rank") == k).select("query_id", "distance").toArrow()
+    order = np.argsort(ids, kind="stable")
+    for query, distance in zip(worst.column(0).to_numpy(), worst.column(1).to_numpy(), strict=True):
+        low, high = np.searchsorted(ids, query, "left", order), np.searchsorted(ids, query, "right", order)
+        places = order[low:high]
+        out[places] = np.minimum(out[places], distance)
+    return out
 
 
 def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -205,116 +249,118 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(cells, f"id long, v {vector_type}, cell int, reach double")
 
 
-def _cell_routes(
-    pivots: np.ndarray, q_reach: dict[int, float], c_reach: dict[int, float], near: dict, need: int
-) -> list[tuple[int, int]]:
-    """Cell pairs that can hold a neighbour, by the triangle inequality.
+def meet_in_blocks(routed: DataFrame, items: DataFrame, block_rows: int, meet, schema: str) -> DataFrame:
+    """Cogroup ``routed`` queries and ``items``, both with (id, cell, block), and apply ``meet`` to each group.
 
-    Every query of a cell has ``need`` items within the ``need``-th smallest of
-    (own reach + pivot gap + item reach); a corpus cell farther than that from
-    all of them cannot contribute.
+    Where many queries visit one block they are split into equal parts and the block's rows repeated
+    for each, so a task holds about ``block_rows`` rows of a side. Items of a block that no query
+    visits go nowhere.
     """
-    cells = np.array(list(c_reach), np.int64)
-    far = np.array(list(c_reach.values()))
-    owners = np.repeat(np.array(list(near), np.int64), [len(r) for r in near.values()])
-    reaches = np.concatenate([np.array(r) for r in near.values()])
-    pairs = []
-    for a, ra in q_reach.items():
-        gap = np.sqrt(squared_distances(pivots, pivots[a]))
-        upper = ra + gap[owners] + reaches
-        limit = np.partition(upper, need - 1)[need - 1] if len(upper) >= need else np.inf
-        # reaches and gaps are exact but for the last digits
-        least = (gap[cells] - ra - far) - 1e-9 * (gap[cells] + ra + far)
-        pairs += [(a, int(b)) for b in cells[least <= limit * (1 + 1e-9)]]
-    return pairs
+    keys = ["cell", "block"]
+    loads = routed.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
+    left = routed.join(loads, keys).withColumn("part", part).drop("parts")
+    right = items.join(loads, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    keys = [*keys, "part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+
+
+class _Cells:
+    """Cells of the corpus: their pivots, rows, reach and number of blocks."""
+
+    def __init__(self, pivots: np.ndarray, rows: np.ndarray, far: np.ndarray, block_rows: int):
+        self.pivots, self.rows, self.far = pivots, rows, far
+        self.blocks = -(-rows // block_rows)
+
+    def first(self, ids: np.ndarray, gaps: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """The cell and block a query visits first: of the nearest cell whose blocks hold enough."""
+        full = self.rows // self.blocks >= 2 * need
+        cell = np.where(full, gaps, np.inf).argmin(axis=1) if full.any() else gaps.argmin(axis=1)
+        return cell, ids % self.blocks[cell]
+
+    def further(self, ids: np.ndarray, vectors: np.ndarray, bounds: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query place, cell, block) of all that may hold a row within the bound, less the first visit.
+
+        No row of a cell is nearer than the gap to its pivot less the cell's reach.
+        """
+        gaps, error = rough_distances(vectors, self.pivots)
+        least = np.sqrt(np.maximum(gaps - error, 0)) - self.far * (1 + 1e-9)
+        place, cell = np.nonzero(least <= np.sqrt(bounds)[:, None] * (1 + 1e-9))
+        times = self.blocks[cell]
+        place, cell = np.repeat(place, times), np.repeat(cell, times)
+        block = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+        first_cell, first_block = self.first(ids, gaps, need)
+        new = (cell != first_cell[place]) | (block != first_block[place])
+        return place[new], cell[new], block[new]
 
 
 def block_join(
     q: DataFrame, c: DataFrame, k: int, *, skip_self: bool = False, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Exact k-nearest join of two large sides.
+    """Exact k-nearest join of two large sides, in two phases.
 
-    Both sides are cut into cells around pivots and a crowded cell into equal
-    blocks, so no task sees more than ``block_rows`` rows of a side. Cell pairs
-    that cannot matter are left out; each remaining block pair is one matrix
-    product that returns k rows per query.
+    The corpus is cut into cells around pivots and a crowded cell into equal blocks. First
+    every query visits one block near it, which bounds the distance of its k-th neighbour; the hits
+    are written. Then it visits only blocks of cells that the triangle inequality leaves, and
+    gets back only rows within its bound. Both sides of a task are bounded, each meeting is one
+    matrix product.
     """
     spark = q.sparkSession
     q, c = q.filter("v is not null"), c.filter("v is not null")
     total = c.count()
     # More cells prune more; what the driver holds of them stays below the number of rows.
-    wanted = max(1, min(-(-total // block_rows), math.isqrt(total) // 8))
+    wanted = max(1, min(-(-total // block_rows), math.isqrt(total) // 2))
     # Pivots are the ids with the smallest hash: spread out, and the same on every run.
     chosen = c.orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow()
     chosen = _present(chosen)
     if chosen.num_rows == 0:
         return spark.createDataFrame([], _HITS + ", rank int")
     pivots = _matrix(chosen.column("v"))
-    q_cells, c_cells = _assign(q, pivots), _assign(c, pivots)
-
-    def sizes(cells: DataFrame) -> dict[int, tuple[int, float]]:
-        stats = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("far"))
-        return {r["cell"]: (r["n"], r["far"]) for r in stats.collect()}
+    c_cells = _assign(c, pivots)
+    stats = c_cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("far")).toArrow()
+    order = stats.column("cell").to_numpy()
+    cells = _Cells(pivots[order], stats.column("n").to_numpy(), stats.column("far").to_numpy(), block_rows)
+    sizes = spark.createDataFrame(pa.table({"cell": stats.column("cell"), "at": pa.array(np.arange(len(order)), pa.int32()), "blocks": pa.array(cells.blocks, pa.int64())}))
+    sizes = F.broadcast(sizes) if len(order) <= BROADCAST_CELLS else sizes
+    items = c_cells.join(sizes, "cell").select("id", "v", F.col("at").alias("cell"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
 
-    q_sizes, c_sizes = sizes(q_cells), sizes(c_cells)
     need = k + (1 if skip_self else 0)
-    inner = Window.partitionBy("cell").orderBy("reach", "id")
-    closest = (
-        c_cells.select("cell", "reach", "id")
-        .withColumn("_n", F.row_number().over(inner))
-        .filter(F.col("_n") <= need)
-        .groupBy("cell")
-        .agg(F.collect_list("reach").alias("reaches"))
-    )
-    near = {r["cell"]: list(r["reaches"]) for r in closest.collect()}
-    pairs = _cell_routes(
-        pivots,
-        {a: far for a, (_, far) in q_sizes.items()},
-        {b: far for b, (_, far) in c_sizes.items()},
-        near,
-        need,
-    )
-    blocks = {
-        "q": {a: -(-n // block_rows) for a, (n, _) in q_sizes.items()},
-        "c": {b: -(-n // block_rows) for b, (n, _) in c_sizes.items()},
-    }
-    routes = spark.createDataFrame(
-        pa.table(
-            {
-                "q_cell": pa.array([a for a, _ in pairs], pa.int32()),
-                "c_cell": pa.array([b for _, b in pairs], pa.int32()),
-                "q_blocks": pa.array([blocks["q"][a] for a, _ in pairs], pa.int32()),
-                "c_blocks": pa.array([blocks["c"][b] for _, b in pairs], pa.int32()),
-            }
+    shared = spark.sparkContext.broadcast(cells)
+    kind = q.schema["v"].dataType.simpleString()
+
+    def routes(batch: pa.RecordBatch, place: np.ndarray, cell: np.ndarray, block: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        taken = batch.take(pa.array(place))
+        return pa.RecordBatch.from_arrays(
+            [taken.column("id"), taken.column("v"), pa.array(bounds[place]), pa.array(cell, pa.int32()), pa.array(block, pa.int32())],
+            names=["id", "v", "bound", "cell", "block"],
         )
-    )
 
-    def dealt(cells: DataFrame, own: str, other: str) -> DataFrame:
-        """Send a row to each block pair its cell takes part in."""
-        block = F.pmod(F.xxhash64("id"), F.col(f"{own}_blocks").cast("long")).cast("int")
-        joined = cells.withColumnRenamed("cell", f"{own}_cell").join(
-            F.broadcast(routes), f"{own}_cell"
-        )
-        return joined.select(
-            "id",
-            "v",
-            "q_cell",
-            "c_cell",
-            block.alias(f"{own}_block"),
-            F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block"),
-        )
+    def to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in map(_present, batches):
+            if batch.num_rows:
+                cell, block = shared.value.first(batch.column("id").to_numpy(), rough_distances(_matrix(batch.column("v")), shared.value.pivots)[0], need)
+                yield routes(batch, np.arange(batch.num_rows), cell, block, np.full(batch.num_rows, np.inf))
 
-    keys = ["q_cell", "q_block", "c_cell", "c_block"]
+    def to_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in map(_present, batches):
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                bounds = part.column("bound").to_numpy()
+                yield routes(part, *shared.value.further(part.column("id").to_numpy(), _matrix(part.column("v")), bounds, need), bounds)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        best = _Best(left.column("id").to_numpy(), _matrix(left.column("v")), k, skip_self)
+        best = _Best(left.column("id").to_numpy(), _matrix(left.column("v")), k, skip_self, left.column("bound").to_numpy())
         best.add(right.column("id").to_numpy(), _matrix(right.column("v")))
         return _hits(pa.Table.from_arrays, best)
 
-    met = (
-        dealt(q_cells, "q", "c")
-        .groupBy(*keys)
-        .cogroup(dealt(c_cells, "c", "q").groupBy(*keys))
-        .applyInArrow(meet, _HITS)
-    )
-    return top_k(met, k)
+    routed = f"id long, v {kind}, bound double, cell int, block int"
+    first = meet_in_blocks(q.mapInArrow(to_first, routed), items, block_rows, meet, _HITS)
+    if len(order) == 1 and cells.blocks[0] == 1:
+        return top_k(first, k)
+    path = scratch_path(spark, "first-hits")
+    first.write.parquet(path)
+    first = spark.read.schema(first.schema).parquet(path)
+    bounds = top_k(first, k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
+    bounded = q.join(bounds, "id", "left").select("id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    others = meet_in_blocks(bounded.mapInArrow(to_others, routed), items, block_rows, meet, _HITS)
+    return top_k(first.unionByName(others), k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors
-from ..operators import chunks, neighbours, retrieval as ops
+from ..operators import chunks, inverted_file, neighbours, retrieval as ops
 from ..sources import files, vector_store
 from ..sources.scratch import scratch_path
 from ..sources.tables import derived, table
@@ -256,6 +256,14 @@ def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("distance", F.round("distance", 8))
 
 
+@query("knn_ivf")
+def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The large-by-large join, approximate: every item against a stored inverted file."""
+    items, path = table(spark, sf_dir, "embeddings"), scratch_path(spark, "inverted-file")
+    inverted_file.write_index(items, path, inverted_file.fit(items, "vec_id", "embedding"), "vec_id", "embedding")
+    return inverted_file.search(items, path, 10, query_columns=("vec_id", "embedding"), skip_self=True)
+
+
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector's chunk is the text of the document with its id."""
     return table(spark, sf_dir, "documents").select(
