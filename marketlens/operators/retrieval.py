@@ -120,7 +120,7 @@ def _bm25_part(tf: Column, length: Column, idf: Column, mean_length: Column) ->
     )
 
 
-def _idf(n: Column, df: Column) -> Column:
+def bm25_idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
@@ -176,7 +176,7 @@ def bm25(
     matches = kept.filter(~is_size)
     frequency = matches.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(frequency, "term").select(
-        "request_id", "term", _idf(n, F.col("df")).alias("idf")
+        "request_id", "term", bm25_idf(n, F.col("df")).alias("idf")
     )
     part = _bm25_part(F.col("tf"), F.col("length"), F.col("idf"), mean_length)
     scored = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors
-from ..operators import chunks, inverted_file, neighbours, retrieval as ops
+from ..operators import chunks, inverted_file, neighbours, postings, retrieval as ops
 from ..sources import files, vector_store
 from ..sources.scratch import scratch_path
 from ..sources.tables import derived, table
@@ -356,9 +356,7 @@ def render_meta_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEARCHES_SQL = dim.sql_values(dim.SEARCHES, "searches", "request_id, force, keywords")
 
 
-@query(
-    "search_topn",
-    f"""with {_SEARCHES_SQL},
+_SEARCH_SQL = f"""with {_SEARCHES_SQL},
     terms as (
       select distinct request_id, unnest({q.tokens('keywords')}) as term from searches),
     words as (select doc_id, {q.tokens('text')} as t from documents),
@@ -375,8 +373,10 @@ _SEARCHES_SQL = dim.sql_values(dim.SEARCHES, "searches", "request_id, force, key
       group by request_id, doc_id)
     select request_id::bigint as request_id, doc_id, score, rank::integer as rank from (
       select *, row_number() over (partition by request_id order by score desc, doc_id) as rank
-      from scored) where rank <= 50""",
-)
+      from scored) where rank <= 50"""
+
+
+@query("search_topn", _SEARCH_SQL)
 def search_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     searches = dim.local_table(spark, "request_id force keywords", dim.SEARCHES)
     return ops.bm25(
@@ -384,6 +384,15 @@ def search_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("search_stored", _SEARCH_SQL)
+def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over a stored index, of which only the buckets of its terms are read."""
+    path = scratch_path(spark, "postings")
+    postings.write_index(table(spark, sf_dir, "documents"), path, "doc_id", "text")
+    searches = dim.local_table(spark, "request_id force keywords", dim.SEARCHES)
+    return postings.search(spark, path, ops.query_terms(searches, "keywords"), "doc_id")
+
+
 @query(
     "keyword_extract",
     f"""with words as (select doc_id, unnest({q.tokens('text')}) as term from documents),
