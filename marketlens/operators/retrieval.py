@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
+import hashlib
+import math
+from collections import Counter
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,20 +22,67 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 # Fixed value: most hits a search returns.
 MAX_RESULTS = 50
+# Most frequent words that keyword extraction broadcasts, and words a task counts before it hands them on.
+FREQUENT_WORDS = 500_000
+WORDS_TOGETHER = 300_000
 
 
-def embed_hash(df: DataFrame, text_column: str, size: int = EMBEDDING_SIZE) -> DataFrame:
+def _places(words: pa.Array, size: int) -> np.ndarray:
+    """A word's place is the number in the first eight digits of its MD5, modulo ``size``.
+
+    Each distinct word of the batch is hashed once.
+    """
+    coded = words.dictionary_encode()
+    places = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size for w in coded.dictionary.to_pylist()]
+    return np.array(places, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.int64)
+
+
+def _counts(words: pa.ListArray, size: int) -> np.ndarray:
+    """Occurrences per row and place; a null row has none."""
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(words)), lengths)
+    return np.bincount(row * size + _places(words.flatten(), size), minlength=len(words) * size).reshape(len(words), size)
+
+
+def embed_hash(df: DataFrame, text_column: str, size: int = EMBEDDING_SIZE, idf: Sequence[float] | None = None) -> DataFrame:
     """Unit vector of hashed word counts; the same text always gives the same vector.
 
-    A word's place is the number in the first eight digits of its MD5, modulo ``size``.
+    With ``idf``, a weight per place from ``fit_idf``, rare words count more. Texts without words
+    get a vector of zeros, null texts no vector.
     """
-    place = lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % size).cast("string")
-    words = df.withColumn("_places", F.transform(text.tokens(text_column), place))
-    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], "_places", "_tf")
-    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counter.transform(words))
-    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
-        "_places", "_tf", "_unit"
-    )
+    weights = np.ones(size) if idf is None else np.asarray(idf, float)
+    if len(weights) != size:
+        raise ValueError("idf has a weight for each place")
+
+    @F.arrow_udf("array<float>")
+    def embed(words: pa.Array) -> pa.Array:
+        values = _counts(words, size) * weights
+        norms = np.sqrt((values * values).sum(axis=1, keepdims=True))
+        unit = np.divide(values, norms, out=np.zeros_like(values), where=norms > 0).astype(np.float32)
+        offsets = pa.array(np.arange(len(words) + 1, dtype=np.int32) * size)
+        return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel()), mask=words.is_null() if words.null_count else None)
+
+    # said to vary, so that Spark does not repeat it where a filter reads the vector
+    return df.withColumn("embedding", embed.asNondeterministic()(text.tokens(text_column)))
+
+
+def fit_idf(df: DataFrame, text_column: str, size: int = EMBEDDING_SIZE) -> list[float]:
+    """Weight per place, ln((n + 1) / (df + 1)) + 1: df texts of n have a word there. Null texts do not count.
+
+    Each task sends one row per place.
+    """
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(size, np.int64), 0
+        for batch in batches:
+            words = batch.column(0)
+            seen += (_counts(words, size) > 0).sum(axis=0)
+            rows += len(words) - words.null_count
+        yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(size + 1)), "n": pa.array(np.append(seen, rows))})
+
+    found = df.select(text.tokens(text_column)).mapInArrow(places, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    counts = dict(found.collect())
+    return [math.log((counts.get(size, 0) + 1) / (counts.get(i, 0) + 1)) + 1 for i in range(size)]
 
 
 def mean_vectors(items: DataFrame, label_column: str, vector_column: str) -> DataFrame:
@@ -124,12 +178,6 @@ def bm25_idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
-def _documents() -> Column:
-    """Number of rows, counted through ``tf``: a plain count would drop that column and
-    with it the likeness that lets Spark reuse the exchange of the counts."""
-    return F.sum(F.least("tf", F.lit(1)))
-
-
 def _best_hits(scored: DataFrame, id_column: str, limit: int) -> DataFrame:
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), id_column)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
@@ -187,27 +235,87 @@ def bm25(
     return _best_hits(scored, id_column, limit)
 
 
-def keyword_extract(docs: DataFrame, id_column: str, text_column: str, n: int = 5) -> DataFrame:
-    """Top words of each document by TF-IDF.
-
-    Splitting text into words is the dear part, so it happens once: both the
-    frequencies and the scores read the exchange of per-document counts, which
-    the map tasks have already combined. A word found in a third of all
-    documents has one row on the frequency side, so the adaptive skew join can
-    split its partition.
+def _row_counts(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(row, word, tf) of every distinct word of every row, rows ascending; and the words of the batch."""
+    coded = words.flatten().dictionary_encode()
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    names = coded.dictionary.to_pylist()
+    row = np.repeat(np.arange(len(words), dtype=np.int64), lengths)
+    pairs, tf = np.unique(row * max(len(names), 1) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return pairs // max(len(names), 1), pairs % max(len(names), 1), tf, names
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task that hold each word, handed on whenever there are many words."""
+    seen: Counter[str] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "df": pa.array(list(seen.values()), pa.int64())})
+        seen.clear()
+        return out
+
+    for batch in batches:
+        _, word, _, names = _row_counts(batch.column(0))
+        seen.update(dict(zip(names, np.bincount(word, minlength=len(names)).tolist(), strict=True)))
+        if len(seen) > WORDS_TOGETHER:
+            yield flush()
+    yield flush()
+
+
+def _candidates(known, n: int):
+    """Per row the words that may be among its n best: by their score where ``known`` holds the word's
+    frequency, else by the bounds that the most and the least frequent word not held allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency, total, highest = known.value
+        least, most = (math.log((total + 1) / (df + 1)) for df in (highest, 1))
+        for batch in batches:
+            row, word, tf, names = _row_counts(batch.column(1))
+            df = np.array([frequency.get(w, 0) for w in names], np.int64)
+            held = df > 0
+            idf = np.log((total + 1) / (np.where(held, df, 1) + 1))
+            low, high = (tf * np.where(held, idf, bound)[word] for bound in (least, most))
+            order = np.lexsort((-low, row))
+            heads = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            nth = np.minimum(heads[:-1] + n, heads[1:]) - 1  # the place of a row's n-th best, or its last
+            limit = low[order][np.maximum(nth, 0)] if len(low) else np.zeros(batch.num_rows)
+            few = np.diff(heads) < n
+            keep = few[row] | (high >= limit[row] - 2e-6)
+            where = word[keep]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row[keep])), pa.array(names, pa.string()).take(pa.array(where)), pa.array(tf[keep], pa.int64()),
+                 pa.array(df[where], pa.int64(), mask=~held[where])],
+                names=[batch.schema.names[0], "term", "tf", "known"],
+            )
+
+    return run
+
+
+def keyword_extract(docs: DataFrame, id_column: str, text_column: str, n: int = 5, frequent: int = FREQUENT_WORDS) -> DataFrame:
+    """Top words of each document by TF-IDF; a row is a document, its id is its own.
+
+    Words are counted within the row. The first pass sums how many documents hold each word, the tasks
+    having combined their own. The ``frequent`` most frequent words are broadcast for the second: a
+    word not among them is no more frequent than the last of them, which bounds its score, so only
+    words that can be among a document's best are exchanged.
     """
-    counts = (
-        docs.select(id_column, F.explode(text.tokens(text_column)).alias("term"))
-        .groupBy(id_column, "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    total = docs.select(F.count("*")).scalar()
-    frequency = counts.groupBy("term").agg(_documents().alias("df"))
-    score = F.round(F.col("tf") * F.log((total + F.lit(1.0)) / (F.col("df") + 1.0)), 6)
+    spark = docs.sparkSession
+    words = docs.select(id_column, text.tokens(text_column).alias("_t"))
+    path = scratch_path(spark, "word-frequencies")
+    words.select("_t").mapInArrow(_document_counts, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).write.parquet(path)
+    frequency = spark.read.parquet(path)
+    top = frequency.orderBy(F.desc("df"), "term").limit(frequent).toArrow()
+    total = docs.count()
+    held = dict(zip(top.column("term").to_pylist(), top.column("df").to_pylist(), strict=True))
+    known = spark.sparkContext.broadcast((held, total, min(held.values(), default=1)))
+    id_kind = words.schema[id_column].dataType.simpleString()
+    found = words.mapInArrow(_candidates(known, n), f"`{id_column}` {id_kind}, term string, tf long, known long")
+    if len(held) == frequent:  # other words are looked up
+        found = found.join(frequency, "term", "left").withColumn("known", F.coalesce("known", "df"))
+    score = F.round(F.col("tf") * F.log((F.lit(total) + F.lit(1.0)) / (F.col("known") + 1.0)), 6)
     order = Window.partitionBy(id_column).orderBy(F.desc("score"), "term")
     return (
-        counts.join(frequency, "term")
-        .select(id_column, "term", score.alias("score"))
+        found.select(id_column, "term", score.alias("score"))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors
 from ..operators import chunks, inverted_file, neighbours, postings, retrieval as ops
 from ..sources import files, vector_store
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, shared_folder
 from ..sources.tables import derived, table
 from . import dimensions as dim
 from . import sql_text as q
@@ -124,6 +126,30 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "embed_idf",
+    f"""with words as (select doc_id, unnest({q.tokens('text')}) as word from documents),
+    counts as (
+      select doc_id, ('0x' || substring(md5(word), 1, 8))::bigint % 256 as place, count(*) as n
+      from words group by all),
+    rarity as (
+      select place, ln(((select count(text) from documents) + 1.0) / (count(*) + 1.0)) + 1 as idf
+      from counts group by place),
+    weighted as (select doc_id, place, n * idf as w from counts join rarity using (place)),
+    norms as (select doc_id, sqrt(sum(w * w)) as norm from weighted group by doc_id)
+    select doc_id, place::integer as place, round((w / norm)::float::double, 5) as weight
+    from weighted join norms using (doc_id)""",
+)
+def embed_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with words weighed by their rarity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vectors_ = ops.embed_hash(docs, "text", idf=ops.fit_idf(docs, "text"))
+    places = vectors_.select("doc_id", F.posexplode("embedding").alias("place", "x"))
+    return places.filter("x <> 0").select(
+        "doc_id", "place", F.round(F.col("x").cast("double"), 5).alias("weight")
+    )
+
+
 @query(
     "l2_normalize",
     """with parts as (
@@ -279,11 +305,11 @@ contexts as (
 """
 
 
-def contexts(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -> DataFrame:
+def contexts(spark: SparkSession, hits: DataFrame, chunks_: DataFrame) -> DataFrame:
     """Hits are written first: their size is then known, and Spark broadcasts them under its threshold."""
     path = scratch_path(spark, "hits")
-    label_hits(spark, sf_dir, index).write.parquet(path)
-    return ops.retrieve_context(spark.read.parquet(path), embedded_chunks(spark, sf_dir))
+    hits.write.parquet(path)
+    return ops.retrieve_context(spark.read.parquet(path), chunks_)
 
 
 @query(
@@ -292,7 +318,7 @@ def contexts(spark: SparkSession, sf_dir: str, index: DataFrame | None = None) -
     from contexts""",
 )
 def retrieve_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contexts(spark, sf_dir)
+    return contexts(spark, label_hits(spark, sf_dir), embedded_chunks(spark, sf_dir))
 
 
 _TEMPLATES_SQL = dim.sql_values(list(dim.TEMPLATES.items()), "templates", "force, template")
@@ -310,19 +336,30 @@ _NAMES_SQL = dim.sql_values(
     from contexts join names on ix = query_id % 5 join templates using (force)""",
 )
 def answer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts for questions asked of a stored index, which is opened by its name."""
-    path = scratch_path(spark, "answers")
-    items = table(spark, sf_dir, "embeddings").withColumn("index_name", F.lit("items"))
-    files.write_partitioned(items, path, "index_name", mode="append")
-    index = vector_store.load(spark, path, "items")
+    """Prompts for questions asked of a stored index, opened by its name; the context is the index's own chunks."""
+    index = stored_items(spark, sf_dir)
+    hits = label_hits(spark, sf_dir, index)
+    chunks_ = index.filter("chunk_text is not null").select(F.col("vec_id").alias("item_id"), "chunk_text")
     names = F.element_at(F.array(*map(F.lit, _FORCE_NAMES)), (F.col("query_id") % 5 + 1).cast("int"))
     question = F.concat(F.lit("What of label "), F.col("query_id").cast("string"), F.lit("?"))
-    requests = contexts(spark, sf_dir, index).withColumns({"force_name": names, "question": question})
+    requests = contexts(spark, hits, chunks_).withColumns({"force_name": names, "question": question})
     templates = dim.templates(spark).withColumn("template", F.concat("template", F.lit("\nQuestion: {question}")))
     rendered = ops.render_prompt(requests, dim.forces(spark), templates, question="question")
     return rendered.select("query_id", "force", "prompt")
 
 
+def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index of a folder's items with the text each stands for; written when first asked for."""
+    path, name = f"{shared_folder(spark)}/item-index", hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    try:
+        return vector_store.load(spark, path, name)
+    except vector_store.MissingIndex:
+        texts = embedded_chunks(spark, sf_dir).withColumnRenamed("item_id", "vec_id")
+        items = table(spark, sf_dir, "embeddings").join(texts, "vec_id", "left").withColumn("index_name", F.lit(name))
+        files.write_partitioned(items, path, "index_name", mode="overwrite")
+        return vector_store.load(spark, path, name)
+
+
 @query(
     "render_prompt",
     f"""with {_TEMPLATES_SQL}

@@ -9,7 +9,8 @@ QUERIES = plans.QUERIES
 # Queries whose work cannot be said in built-ins.
 PYTHON = {
     "html_to_text_strict", "chunk_paragraphs", "knn_l2", "knn_join", "recommend_items",
-    "retrieve_context", "answer_requests", "ingest_document",
+    "retrieve_context", "answer_requests", "ingest_document", "knn_ivf", "embed_hash", "embed_idf",
+    "search_stored", "keyword_extract",
 }
 
 

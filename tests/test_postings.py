@@ -91,3 +91,37 @@ def test_empty_index_and_no_terms(spark, tmp_path):
     postings.write_index(docs.filter("name = 'null'"), f"{tmp_path}/b", "name", "body")
     for name in "ab":
         assert postings.search(spark, f"{tmp_path}/{name}", spark.createDataFrame([(1, "zzz")], "request_id long, term string"), "name").count() == 0
+
+
+@pytest.mark.parametrize("frequent", [1, 6, 1000])
+def test_keywords_by_bounds(spark, frequent):
+    """Whatever share of the vocabulary is broadcast, the same words come out."""
+    from marketlens.operators import retrieval
+
+    rows = documents(200) + [("rare", "w0 w0 w0 w0 zebra"), ("two", "a b")]
+    words = {i: (t or "").split() for i, t in rows}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    want = {}
+    for i, ws in words.items():
+        best = sorted((-round(n * math.log((len(rows) + 1) / (df[w] + 1)), 6), w) for w, n in Counter(ws).items())[:3]
+        if best:
+            want[i] = [w for _, w in best]
+    table = spark.createDataFrame(rows, "name string, body string")
+    got = {}
+    for r in retrieval.keyword_extract(table, "name", "body", 3, frequent=frequent).orderBy("name", "rank").collect():
+        got.setdefault(r["name"], []).append(r["term"])
+    assert got == want
+    assert retrieval.keyword_extract(table.filter("false"), "name", "body").count() == 0
+
+
+def test_idf_weighs_rare_words(spark):
+    from marketlens.operators import retrieval
+
+    table = spark.createDataFrame([(1, "common rare"), (2, "common"), (3, "common"), (4, None), (5, "")], "id long, body string")
+    idf = retrieval.fit_idf(table, "body")
+    vectors = {r["id"]: r["embedding"] for r in retrieval.embed_hash(table, "body", idf=idf).collect()}
+    seen = sorted(x for x in vectors[1] if x)
+    assert vectors[4] is None and not any(vectors[5]) and len(seen) == 2
+    assert seen[1] / seen[0] == pytest.approx((math.log(5 / 2) + 1) / (math.log(5 / 4) + 1), rel=1e-5)
+    with pytest.raises(ValueError, match="each place"):
+        retrieval.embed_hash(table, "body", idf=[1.0])
