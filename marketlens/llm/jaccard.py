@@ -367,24 +367,14 @@ def _tries(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
-def _crowd_links(crowds: DataFrame, small_met: DataFrame, links: DataFrame, verify, percent: int) -> DataFrame:
+def _crowd_links(crowds: DataFrame, links: DataFrame, verify, percent: int) -> DataFrame:
     """Links that join the components left apart in crowded buckets."""
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Overlap of the prefixes: in crowded buckets counted here, in small ones before."""
-        pairs = materialise(pairs, "jaccard-tries")
-        one, two = (crowds.select(F.col("class").alias(x), "gram") for x in ("a", "b"))
-        here = pairs.join(one, "a").join(two, ["b", "gram"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("here"))
-        met = here.join(small_met.select("a", "b", "met"), ["a", "b"], "left").where(_can_reach(F.col("here") + F.coalesce("met", F.lit(0)), percent))
-        out = materialise(met.select("a", "b", "na", "nb"), "jaccard-pairs")
-        discard(pairs)
-        return out
-
     mixed = _mixed(crowds, links)
     for turn in range(CROWD_ROUNDS):
         if mixed.isEmpty():
             return links
-        links = materialise(links.unionByName(verify(plausible(_tries(mixed, turn, percent)))), "jaccard-links")
+        links = materialise(links.unionByName(verify(materialise(_tries(mixed, turn, percent), "jaccard-pairs"))), "jaccard-links")
         discard(mixed)
         mixed = _mixed(crowds, links)
 
@@ -397,7 +387,7 @@ def _crowd_links(crowds: DataFrame, small_met: DataFrame, links: DataFrame, veri
         & _lengths_fit("s.n", "t.n", percent) & (left >= F.ceil(F.lit(percent) * (F.col("s.n") + F.col("t.n")) / F.lit(100 + percent)))
         & ~F.arrays_overlap("s.earlier", "t.earlier"),
     ).select(F.col("s.class").alias("a"), F.col("t.class").alias("b"), F.col("s.n").alias("na"), F.col("t.n").alias("nb"))
-    links = materialise(links.unionByName(verify(plausible(listed.distinct()))), "jaccard-links")
+    links = materialise(links.unionByName(verify(materialise(listed.distinct(), "jaccard-pairs"))), "jaccard-links")
     discard(mixed)
     return links
 
@@ -416,7 +406,7 @@ def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int,
         "jaccard-buckets",
     )
     small_met = materialise(
-        buckets.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"), F.max("near").alias("near")), "jaccard-met"
+        buckets.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met"), F.max("near").alias("near")).where("near"), "jaccard-met"
     )
     rows = buckets.where("b is null").select(F.col("a").alias("class"), F.col("na").alias("n"), "gram", "place")
     crowds = _crowds(rows)
@@ -424,10 +414,10 @@ def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int,
     sizes = [small(more.select(F.col("class").alias(c), F.col("more").alias(f"more_{c}"))) for c in ("a", "b")]
     both = F.least(*[F.coalesce(f"more_{c}", F.lit(0)) for c in ("a", "b")])
     # a pair first met in a crowded bucket is listed there
-    likely = small_met.where("near").join(sizes[0], "a", "left").join(sizes[1], "b", "left").where(_can_reach(F.col("met") + both, percent))
+    likely = small_met.join(sizes[0], "a", "left").join(sizes[1], "b", "left").where(_can_reach(F.col("met") + both, percent))
     links = verify(materialise(likely.select("a", "b", "na", "nb"), "jaccard-pairs"))
     discard(buckets)
-    links = _crowd_links(crowds, small_met, links, verify, percent)
+    links = _crowd_links(crowds, links, verify, percent)
     for done in (small_met, crowds, more):
         discard(done)
     return links
