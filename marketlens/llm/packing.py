@@ -205,6 +205,7 @@ def cuts(total: int, window: int = WINDOW) -> np.ndarray:
 
 def _pack(window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _WORD_IDS.clear()  # the ids of words this worker remembers have served
         doc_ids, ids = [], []
         for batch in batches:
             doc_ids += batch.column("doc_id").to_pylist()
