@@ -30,6 +30,8 @@ from .components import components
 CELLS = 1 << 20
 BLOCK = 1 << 14
 FRAGMENTS = 4
+# Bytes of text whose n-grams are made at once: a task holds about a hundred times as many.
+SLICE = 1 << 17
 CROWD = 64
 CROWD_ROUNDS = 2
 # Hubs a class of a crowded bucket is compared with in one round.
@@ -68,7 +70,7 @@ def _sets_and_counts(n: int):
         cells = np.zeros(CELLS, np.uint32)
         names = ["doc_id", "version", "n", "class", "block", "counts"]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sizes, classes = [], []
                 for grams in gram_sets(part.column("text"), n):
                     np.add.at(cells, (grams >> np.uint64(44)).astype(np.int64), 1)
@@ -110,15 +112,23 @@ def _sketch(counted: DataFrame) -> np.ndarray:
     return out
 
 
+def _order(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells, and the counts at which one fragment of the order ends and the next begins."""
+    order = np.sort(counts[counts > 0])
+    total = np.cumsum(order)
+    bounds = order[np.searchsorted(total, [total[-1] * k // FRAGMENTS for k in range(1, FRAGMENTS)])] if len(order) else np.empty(0)
+    return np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32), bounds
+
+
 def _prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
 def _prefixes(n: int, percent: int, cells):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = cells.value, set()
+        (counts, _), seen = cells.value, set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 keys, names, sizes, places = [], [], [], []
                 for grams in gram_sets(part.column("text"), n):
                     if not len(grams) or (name := digest(grams)) in seen:
@@ -248,12 +258,9 @@ def _buckets(percent: int):
 
 def _fragments(n: int, cells):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = cells.value
-        order = np.sort(counts[counts > 0])
-        total = np.cumsum(order)
-        bounds = order[np.searchsorted(total, [total[-1] * k // FRAGMENTS for k in range(1, FRAGMENTS)])] if len(order) else np.empty(0)
+        counts, bounds = cells.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 rows = []
                 for name, grams in zip(part.column("class").to_pylist(), gram_sets(part.column("text"), n), strict=True):
                     if len(grams) and digest(grams) == name:
@@ -434,7 +441,7 @@ def grouped(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     counted = materialise(
         chosen.mapInArrow(_sets_and_counts(n), "doc_id long, version long, n long, class binary, block int, counts binary"), "jaccard-sets"
     )
-    cells = documents.sparkSession.sparkContext.broadcast(_sketch(counted))
+    cells = documents.sparkSession.sparkContext.broadcast(_order(_sketch(counted)))
     members = counted.where("block is null").select("doc_id", "version", "n", "class")
     # one document of each class, with an id if there is one
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("first")
