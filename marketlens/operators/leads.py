@@ -25,6 +25,9 @@ LEAD_SCHEMA = T.StructType(
 # What the key of a missing value looks like: the text of an absent value, lower-cased.
 NULL_KEY = "none"
 
+# As many first words of names as are broadcast.
+FIRST_WORDS = 200_000
+
 
 def clean_leads(leads: DataFrame, *, timestamp: bool = True) -> DataFrame:
     """Clean and enrich lead rows in one narrow projection.
@@ -114,60 +117,95 @@ def entity_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(source, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def name_candidates(
+    rows: DataFrame, text_column: str, names: DataFrame, id_column: str, first_words: int = FIRST_WORDS
+) -> DataFrame:
+    """Spans of a text that may be a name: those that begin as a name of their length does.
+
+    ``names`` holds the words of each name in ``_t``. A span is cut only where its first word begins
+    a name, and only in the lengths of the names that begin so; a long name costs nothing where
+    its first word is absent. Up to ``first_words`` first words (counted) are broadcast and texts stay in place.
+    Beyond, words meet them by a join, and only the places found go back to their texts.
+    """
+    first = F.get("_t", F.lit(0)).alias("_first")
+    firsts = names.groupBy(first).agg(F.array_sort(F.collect_set(F.size("_t"))).alias("_lengths"))
+    words = rows.select(id_column, entity_tokens(text_column).alias("_t"))
+    if firsts.limit(first_words + 1).count() <= first_words:
+        starts = words.select("*", F.posexplode("_t").alias("pos", "_first")).join(
+            F.broadcast(firsts), "_first"
+        )
+    else:
+        places = (
+            words.select(id_column, F.posexplode("_t").alias("pos", "_first"))
+            .join(firsts, "_first")
+            .groupBy(id_column)
+            .agg(F.collect_list(F.struct("pos", "_lengths")).alias("_places"))
+        )
+        starts = words.join(places, id_column).select(id_column, "_t", F.inline("_places"))
+    return starts.select(
+        id_column,
+        F.inline(
+            F.transform(
+                F.filter("_lengths", lambda n: n <= F.size("_t") - F.col("pos")),
+                lambda n: F.struct(
+                    F.col("pos"),
+                    n.alias("words"),
+                    F.array_join(F.slice("_t", F.col("pos") + 1, n), " ").alias("surface"),
+                ),
+            )
+        ),
+    )
+
+
 def tag_entities(
-    rows: DataFrame, text_column: str, gazetteer: DataFrame, id_column: str
+    rows: DataFrame,
+    text_column: str,
+    gazetteer: DataFrame,
+    id_column: str,
+    *,
+    first_words: int = FIRST_WORDS,
 ) -> DataFrame:
     """Gazetteer matches grouped as persons, organizations, locations and misc.
 
-    Matches are as long as the longest name of the gazetteer. Where they overlap, the longest
-    counts, then the first; a name with several labels counts for each.
+    Names may have any length. Where matches overlap, the longest counts, then the first;
+    a name with several labels counts for each.
 
     ``gazetteer(surface, label)`` is joined on the surface form; Spark broadcasts
     it while it is under the threshold and sort-merges it when it is not. Only
-    matches reach the grouping exchange.
+    matches reach the grouping exchange. One sorted pass cuts a text's matches into runs that
+    overlap; matches are compared within a run only.
     """
-    names = gazetteer.select(entity_tokens("surface").alias("_t"), "label")
-    max_words = names.agg(F.coalesce(F.max(F.size("_t")), F.lit(0))).first()[0]
-    grams = F.transform(
-        "_t",
-        lambda _, i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max(1, max_words)), F.size("_t") - i)),
-            lambda n: F.struct(
-                i.alias("pos"),
-                n.alias("words"),
-                F.array_join(F.slice("_t", i + 1, n), " ").alias("surface"),
-            ),
-        ),
-    )
-    found = (
-        rows.select(id_column, entity_tokens(text_column).alias("_t"))
-        .select(id_column, F.inline(F.flatten(grams)))
-        .join(
-            names.select(F.array_join("_t", " ").alias("surface"), "label").distinct(),
-            "surface",
-        )
+    names = gazetteer.select(entity_tokens("surface").alias("_t"), "label").filter(F.size("_t") > 0)
+    found = name_candidates(rows, text_column, names, id_column, first_words).join(
+        names.select(F.array_join("_t", " ").alias("surface"), "label").distinct(), "surface"
     )
 
-    span = "struct<less:int,pos:int,words:int,surface:string,label:string>"
-    spans = found.groupBy(id_column).agg(
-        F.sort_array(
-            F.collect_list(F.struct((-F.col("words")).alias("less"), "pos", "words", "surface", "label"))
-        ).alias("_s")
+    by_place = Window.partitionBy(id_column).orderBy("pos")
+    reached = F.max(F.col("pos") + F.col("words")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (reached.isNull() | (F.col("pos") >= reached)).cast("int")
+    runs = (
+        found.withColumn("_opens", opens)
+        .withColumn("_run", F.sum("_opens").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(id_column, "_run")
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct((-F.col("words")).alias("less"), "pos", "words", "surface", "label"))
+            ).alias("_s")
+        )
     )
 
     def apart(x: Column, y: Column) -> Column:
         same = (x["pos"] == y["pos"]) & (x["words"] == y["words"])
         return same | (x["pos"] + x["words"] <= y["pos"]) | (y["pos"] + y["words"] <= x["pos"])
 
+    span = "struct<less:int,pos:int,words:int,surface:string,label:string>"
     disjoint = F.aggregate(
         "_s",
         F.array().cast(f"array<{span}>"),
         lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.concat(acc, F.array(x))).otherwise(acc),
     )
-    ordered = F.sort_array(
-        F.transform(disjoint, lambda x: F.struct(x["pos"].alias("pos"), x["surface"].alias("surface"), x["label"].alias("label")))
-    )
-    tagged = spans.select(id_column, ordered.alias("_s"))
+    kept = F.transform(disjoint, lambda x: F.struct(x["pos"].alias("pos"), x["surface"].alias("surface"), x["label"].alias("label")))
+    tagged = runs.groupBy(id_column).agg(F.sort_array(F.flatten(F.collect_list(kept))).alias("_s"))
 
     def of(label: str) -> Column:
         return F.transform(F.filter("_s", lambda x: x["label"] == label), lambda x: x["surface"])
