@@ -167,7 +167,7 @@ def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     select 'documents' as index_name, doc_id, chunk_ix, sha256(chunk_text) as chunk_hash from chunks""",
 )
 def vector_table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append every chunk, then again: known chunks are not stored twice."""
+    """Append every chunk, then again in both ways: nothing is stored twice."""
     from ..operators.chunks import chunk_windows
     from ..operators.retrieval import embed_hash
 
@@ -175,11 +175,30 @@ def vector_table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = embed_hash(chunk_windows(docs, "text"), "chunk_text")
     path = scratch_path(spark, "vectors")
     vector_store.append(chunks, path, "documents")
+    vector_store.append(chunks, path, "documents")
     vector_store.append(chunks, path, "documents", skip_known=True)
     rows = vector_store.load(spark, path, "documents")
     return rows.select("index_name", "doc_id", "chunk_ix", "chunk_hash")
 
 
+@query(
+    "vector_table_replace",
+    f"""with {chunks_sql('documents')}
+    select doc_id, chunk_ix, chunk_text, case when doc_id % 3 = 0 then 'new' else 'old' end as edition from chunks""",
+)
+def vector_table_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored, then every third anew: its new chunks stand in place of the old."""
+    from ..operators.chunks import chunk_windows
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = chunk_windows(docs, "text")
+    path = scratch_path(spark, "replaced-vectors")
+    vector_store.append(chunks.withColumn("edition", F.lit("old")), path, "documents")
+    third = chunks.filter("doc_id % 3 = 0").withColumn("edition", F.lit("new"))
+    vector_store.append(third, path, "documents", replace=True)
+    return vector_store.load(spark, path, "documents").select("doc_id", "chunk_ix", "chunk_text", "edition")
+
+
 @query(
     "vector_table_load",
     """select 'label-3' as index_name, vec_id, round(list_sum(embedding::double[]), 5) as total
@@ -191,7 +210,7 @@ def vector_table_load(spark: SparkSession, sf_dir: str) -> DataFrame:
         "index_name", F.concat(F.lit("label-"), F.col("label").cast("string"))
     )
     path = scratch_path(spark, "label-vectors")
-    files.write_partitioned(items, path, "index_name", mode="append")
+    vector_store.store(items, path)
     total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return vector_store.load(spark, path, "label-3").select(
         "index_name", "vec_id", F.round(total, 5).alias("total")

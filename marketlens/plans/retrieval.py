@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors
 from ..operators import chunks, inverted_file, neighbours, postings, retrieval as ops
-from ..sources import files, vector_store
+from ..sources import vector_store
 from ..sources.scratch import scratch_path, shared_folder
 from ..sources.tables import derived, table
 from . import dimensions as dim
@@ -356,7 +356,7 @@ def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     except vector_store.MissingIndex:
         texts = embedded_chunks(spark, sf_dir).withColumnRenamed("item_id", "vec_id")
         items = table(spark, sf_dir, "embeddings").join(texts, "vec_id", "left").withColumn("index_name", F.lit(name))
-        files.write_partitioned(items, path, "index_name", mode="overwrite")
+        vector_store.store(items, path)
         return vector_store.load(spark, path, name)
 
 
