@@ -20,25 +20,37 @@ def is_json_document(c: Column | str) -> Column:
     return raw.rlike(r"^\s*[\[{]") & F.coalesce(F.json_array_length(wrapped) == 1, F.lit(False))
 
 
-def records(files: DataFrame, schema: T.StructType) -> DataFrame:
-    """Rows of file texts ``(source_file, value)``: array elements, or the one object, in order."""
+def parsed(files: DataFrame, schema: T.StructType) -> DataFrame:
+    """File texts ``(source_file, value)`` read once: ``(source_file, n_chars, records)``.
+
+    ``records`` is NULL where a file holds no JSON records. The text itself is left behind.
+    """
+    found = F.when(is_json_document("value"), F.from_json("value", T.ArrayType(schema)))
+    return files.select("source_file", F.length("value").alias("n_chars"), found.alias("records"))
+
+
+def readable(read: DataFrame) -> DataFrame:
+    """Rows of ``parsed`` files: array elements, or the one object, in order."""
     return (
-        files.filter(is_json_document("value"))
-        .select(
-            "source_file",
-            F.posexplode(F.from_json("value", T.ArrayType(schema))).alias("ordinal", "_r"),
-        )
+        read.select("source_file", F.posexplode("records").alias("ordinal", "_r"))
         .filter(F.col("_r").isNotNull())
         .select("source_file", F.col("ordinal").cast("long").alias("ordinal"), "_r.*")
     )
 
 
+def unreadable(read: DataFrame) -> DataFrame:
+    """``parsed`` files that hold no JSON records, to report; the others go on without them."""
+    return read.filter(F.col("records").isNull()).select("source_file", "n_chars")
+
+
+def records(files: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of file texts ``(source_file, value)``."""
+    return readable(parsed(files, schema))
+
+
 def rejects(files: DataFrame, schema: T.StructType) -> DataFrame:
-    """Files that hold no JSON records, to report; the others go on without them."""
-    unreadable = F.from_json("value", T.ArrayType(schema)).isNull()
-    return files.filter(~is_json_document("value") | unreadable).select(
-        "source_file", F.length("value").alias("n_chars")
-    )
+    """File texts that hold no JSON records."""
+    return unreadable(parsed(files, schema))
 
 
 def whole_files(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.leads import LEAD_SCHEMA, clean_leads, dedupe_leads
-from ..sources.files import records, rejects
+from ..sources.files import parsed, readable, unreadable
 
 
 def stream_raw_drop(
@@ -23,8 +24,9 @@ def stream_raw_drop(
     """Clean each newly arrived file once and stop when the drop is drained.
 
     A file lies within one micro-batch and duplicates are sought within a file,
-    so no state is kept. A batch writes to its own folder, so a batch that is
-    run again after a failure replaces its output.
+    so no state is kept. A batch is read and parsed once; what was parsed is kept on
+    the executors until both outputs are written, and read again where one is lost. A batch writes to its
+    own folders, so a batch that is run again after a failure replaces both outputs.
     """
     files = (
         spark.readStream.option("wholetext", True)
@@ -35,9 +37,13 @@ def stream_raw_drop(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        leads = clean_leads(records(batch, LEAD_SCHEMA))
-        dedupe_leads(leads).write.mode("overwrite").parquet(f"{clean_path}/batch={batch_id}")
-        rejects(batch, LEAD_SCHEMA).write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
+        read = parsed(batch, LEAD_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            leads = dedupe_leads(clean_leads(readable(read)))
+            leads.write.mode("overwrite").parquet(f"{clean_path}/batch={batch_id}")
+            unreadable(read).write.mode("overwrite").parquet(f"{reject_path}/batch={batch_id}")
+        finally:
+            read.unpersist()
 
     return (
         files.writeStream.foreachBatch(handle)

@@ -56,6 +56,16 @@ def test_stream_equals_batch_and_takes_only_new_files(spark, drop, tmp_path):
     assert run() == [("array.json", "Ann"), ("late.json", "Di"), ("lone.json", "Cy")]
 
 
+def test_a_batch_is_read_once_and_a_repeated_one_replaces_both_outputs(spark, drop, tmp_path):
+    clean, bad = str(tmp_path / "clean"), str(tmp_path / "bad")
+    for state in ("first", "second"):  # a new state starts from batch 0 again
+        stream = stream_raw_drop(spark, drop, clean, bad, str(tmp_path / state))
+        stream.awaitTermination()
+        assert sum(p["numInputRows"] for p in stream.recentProgress) == len(FILES) - 1
+        assert spark.read.parquet(clean).count() == 2 and spark.read.parquet(bad).count() == len(BAD)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 def test_new_crawl_replaces_only_its_force(spark, tmp_path):
     path = str(tmp_path / "crawl")
     schema = "porter_force string, url string"
@@ -71,8 +81,10 @@ def test_vector_table(spark, tmp_path, plan_of):
     docs = spark.createDataFrame([(1, "pay by card"), (2, "open bank"), (3, "open bank")], "doc_id long, text string")
     vector_store.ingest(docs, "doc_id", "text", path, "x")
     vector_store.ingest(docs, "doc_id", "text", path, "x")
-    assert vector_store.load(spark, path, "x").count() == 6
+    assert vector_store.load(spark, path, "x").count() == 3
     chunks = vector_store.embed_chunks(docs, "doc_id", "text")
+    vector_store.append(chunks, path, "x", again=True)
+    assert vector_store.load(spark, path, "x").count() == 6
     vector_store.append(chunks, path, "y", skip_known=True)
     vector_store.append(chunks, path, "y", skip_known=True)
     y = vector_store.load(spark, path, "y")
