@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import let
-from .metrics import MONEY_OR_PERCENT
+from .metrics import MONEY_OR_PERCENT, amount_value
 
 
 def _deletions(name: Column, edits: int) -> Column:
@@ -98,14 +98,25 @@ def fuse(
     )
 
 
-def ungrounded_numbers(reports: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Figures a report states that none of its entity's evidence contains."""
+def ungrounded_numbers(reports: DataFrame, evidence: DataFrame, *, by_value: bool = False) -> DataFrame:
+    """Figures a report states that none of its entity's evidence contains.
+
+    Figures are the same when their texts are, or ``by_value`` when their amounts are: `$5K` is
+    `$5,000` then, but never a percentage.
+    """
 
     def figures(df: DataFrame, *keys: str) -> DataFrame:
         found = F.regexp_extract_all("text", F.lit(MONEY_OR_PERCENT), F.lit(0))
         return df.select(*keys, F.explode(F.array_distinct(found)).alias("figure"))
 
+    def valued(df: DataFrame) -> DataFrame:
+        # Rounded, as 1.1 times a million is not exact.
+        return df.withColumns({"_money": F.col("figure").startswith("$"), "_value": F.round(amount_value(F.col("figure")), 4)})
+
     stated = figures(reports, "report_id", "entity_id")
+    known = figures(evidence, "entity_id")
     # A set per entity and figure, built in the map tasks first.
-    known = figures(evidence, "entity_id").distinct()
-    return stated.join(known, ["entity_id", "figure"], "left_anti")
+    if not by_value:
+        return stated.join(known.distinct(), ["entity_id", "figure"], "left_anti")
+    same = ["entity_id", "_money", "_value"]
+    return valued(stated).join(valued(known).select(same).distinct(), same, "left_anti").drop("_money", "_value")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import parsing
 from ..functions.text import UNKNOWN_SOURCE
 
+# Fixed value.
 ERROR_MESSAGE = "Failed to parse model output"
 
 

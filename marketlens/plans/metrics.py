@@ -486,3 +486,25 @@ def ungrounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.ungrounded_numbers(
         derived(spark, sf_dir, "reports"), notes(spark, sf_dir)
     )
+
+
+_VALUE_SQL = """round(cast(regexp_replace(figure, '[^0-9.]', '', 'g') as double) * case right(figure, 1)
+      when 'K' then 1e3 when 'M' then 1e6 when 'B' then 1e9 else 1 end, 4) as value, starts_with(figure, '$') as money"""
+
+
+@query(
+    "ungrounded_values",
+    f"""with stated as (
+      select *, {_VALUE_SQL} from (
+        select distinct report_id, entity_id, unnest(regexp_extract_all(text, '{ops.MONEY_OR_PERCENT}')) as figure
+        from reports)),
+    known as (
+      select distinct entity_id, {_VALUE_SQL} from (
+        select entity_id, unnest(regexp_extract_all(text, '{ops.MONEY_OR_PERCENT}')) as figure from notes))
+    select report_id, entity_id, figure from stated anti join known using (entity_id, value, money)""",
+    uses=("reports", "notes"),
+)
+def ungrounded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.ungrounded_numbers(
+        derived(spark, sf_dir, "reports"), notes(spark, sf_dir), by_value=True
+    )

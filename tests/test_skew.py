@@ -75,3 +75,12 @@ def test_keywords_with_a_word_in_every_third_document(spark, skewed):
     got = retrieval.keyword_extract(docs, "id", "text", n=2)
     assert got.count() == 2 * ROWS
     assert {r["term"] for r in got.filter("id = 3").collect()} == {"hot", "w3"}
+
+
+def test_figures_compared_by_value(spark):
+    reports = spark.createDataFrame([(1, 7, "$5K, $1.1M, 5%, $5, $2,000.50 and 40.0%")], "report_id long, entity_id long, text string")
+    notes = spark.createDataFrame([(7, "$5,000 and $1,100,000; $2000.5"), (7, "40% $5%"), (8, "5%")], "entity_id long, text string")
+    got = {r["figure"] for r in matching.ungrounded_numbers(reports, notes, by_value=True).collect()}
+    assert got == {"5%"}
+    # As texts all differ: even `$5` carries the comma behind it.
+    assert matching.ungrounded_numbers(reports, notes).count() == 6
