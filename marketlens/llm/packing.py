@@ -1,24 +1,24 @@
 """Retrieval packing: documents fill fixed windows after a seed's nearest texts.
 
 Documents are tokenized once into shared scratch. They are dealt to shards by a minimum hash
-of their tokens, copies next to each other, ties by id. Each shard indexes its documents
-with BM25; every window starts with a seed (the rest of the document cut before, or the next
-unused one) and takes the seed's best unused neighbours until it is full; the last one is
-cut and leads the next window. The rest of a shard is cut into sequences of a power of two,
-so no sequence has padding.
+of their tokens, copies next to each other, ties by id. Each shard indexes its documents with
+BM25, by document frequencies and the mean length of the whole corpus; every window starts
+with a seed (the rest of the document cut before, or the next unused one) and takes the seed's
+best unused neighbours until it is full; the last one is cut and leads the next window. The
+rest of a shard is cut into sequences of a power of two, so no sequence has padding.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,21 +31,28 @@ SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 # Words of which a task remembers the ids; two generations of this size are kept.
 CACHE_WORDS = 450_000
+# Words encoded as one text.
+GROUP_WORDS = 200
 
 # A word of Latin letters and then these marks: its ids are those of both parts, and case goes.
 _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
-_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LATIN_START = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_LATIN = _LATIN_START + r"\z"
 
 
 class WordIds:
-    """Ids of a text, word by word: white space ends every token of this vocabulary, so a
-    text's ids are those of its words in order, and words recur."""
+    """Ids of texts, word by word: white space ends every token of this vocabulary, so a text's
+    ids are those of its words in order. A slice's distinct words are found by Arrow, and only
+    those not met before are encoded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids beyond 65,535 do not fit")
+        self.bar = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -53,53 +60,98 @@ class WordIds:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.new[word] = array("H", found.ids).tobytes()
 
-    def _absent(self, words: set[str]) -> set[str]:
+    def _encode_letters(self, words: list[str]) -> None:
+        """As ``_encode`` for words of letters, many in one text with bars between, which stay ids of their own."""
+        groups = [words[k : k + GROUP_WORDS] for k in range(0, len(words), GROUP_WORDS)]
+        encoded = self.tokenizer.encode_batch_fast([" | ".join(g) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, encoded, strict=True):
+            ids = np.array(found.ids + self.bar, np.uint16)
+            ends = np.flatnonzero(ids == self.bar[0])
+            if len(self.bar) != 1 or len(ends) != len(group):
+                self._encode(group)
+                continue
+            raw, low = ids.tobytes(), 0
+            for word, high in zip(group, (ends * 2).tolist(), strict=True):
+                self.new[word] = raw[low:high]
+                low = high + 2
+
+    def _absent(self, words: Iterable[str]) -> list[str]:
         """Words to encode; those of the old generation move to the new one."""
-        absent = words.difference(self.new)
-        old = self.old
-        for word in absent.intersection(old):
-            self.new[word] = old[word]
-        return absent.difference(old)
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        words, cores, marks, odd, latin = [], [], [], set(), _LATIN.fullmatch
-        for word in self._absent(set(chain.from_iterable(split))):
-            core = word.rstrip(_MARKS)
-            if (core.isascii() and core.isalpha()) or latin(core):
-                words.append(word)
-                cores.append(core.lower())
-                marks.append(word[len(core) :])
-            else:
-                odd.add(word)
-        self._encode(sorted(odd | self._absent({*cores, *marks})))
-        new = self.new
-        for word, core, mark in zip(words, cores, marks, strict=True):
-            new[word] = new[core] + new[mark]
-        ids = new.__getitem__
-        out = [b"".join(map(ids, words)) for words in split]
-        if len(new) > CACHE_WORDS:
-            self.old, self.new = new, {}
+        new, old, out = self.new, self.old, []
+        for word in words:
+            if word not in new:
+                found = old.get(word)
+                if found is None:
+                    out.append(word)
+                else:
+                    new[word] = found
         return out
 
+    def _ids(self, words: pa.Array, letters: bool) -> list[bytes]:
+        words = words.to_pylist()
+        absent = self._absent(words)
+        (self._encode_letters if letters else self._encode)(absent)
+        return list(map(self.new.__getitem__, words))
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, and the place after each text's last one."""
+        spaced = pc.replace_substring(pc.replace_substring(column, "\n", " "), "\t", " ")
+        split = pc.split_pattern(spaced, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        # a word is two parts: letters in small case and the marks after them, or all of it and nothing
+        cores = pc.utf8_rtrim(words, _MARKS)
+        plain = pc.match_substring_regex(cores, _LATIN)
+        marks = pc.replace_substring_regex(pc.if_else(plain, words, ""), _LATIN_START, "").dictionary_encode()
+        cores = pc.utf8_lower(pc.if_else(plain, cores, "")).dictionary_encode()
+        others = pc.if_else(plain, "", words).dictionary_encode()
+        parts, known, at = [], [], 0
+        for part, letters in ((cores, True), (others, False), (marks, False)):
+            # the empty text stands where a part is absent, and has no ids
+            found = self._ids(part.dictionary, letters)
+            known += found
+            parts.append(part.indices.to_numpy() + at)
+            at += len(found)
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        flat = np.frombuffer(b"".join(known), np.uint16)
+        by_word, ends = _runs(flat, sizes, np.stack(parts, axis=1).ravel())
+        word_ends = ends[len(parts) - 1 :: len(parts)]
+        ids, ends = _runs(by_word, np.diff(word_ends, prepend=0), coded.indices.to_numpy())
+        places = np.cumsum(pc.list_value_length(split).to_numpy())
+        return ids, np.append(0, ends)[places]
+
+
+def _runs(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values``, one after the other, in the order of ``which``; and where each ends."""
+    first, lengths = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - ends + lengths, lengths)
+    return values[at], ends
+
 
 _WORD_IDS: dict[str, WordIds] = {}
 
 
-def word_ids(path: str | None) -> WordIds:
+def word_ids_path(path: str | None = None) -> str:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
+    return path
+
+
+def word_ids(path: str | None) -> WordIds:
+    path = word_ids_path(path)
     if path not in _WORD_IDS:
         _WORD_IDS[path] = WordIds(path)
     return _WORD_IDS[path]
 
 
-def _lexical_keys(ids: list[bytes]) -> np.ndarray:
+def _lexical_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Per text the least hash of three consecutive ids; of what there is, for shorter texts."""
-    flat = np.frombuffer(b"".join(ids), np.uint16).astype(np.uint64)
-    ends = np.cumsum([len(b) // 2 for b in ids])
+    flat = ids.astype(np.uint64)
     x = flat.copy()
     x[1:] |= flat[:-1] << np.uint64(16)
     x[2:] |= flat[:-2] << np.uint64(32)
@@ -121,12 +173,16 @@ def tokenized(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
-        end = np.array([END_ID], np.uint16).tobytes()
         for batch in batches:
             for part in slices(batch, "text", 1 << 22):
-                ids = [b + end for b in words.texts(part.column("text").to_pylist())]
+                ids, ends = words.texts(part.column("text"))
+                ids, ends = np.insert(ids, ends, END_ID), ends + np.arange(1, len(ends) + 1)
+                offsets = pa.py_buffer(np.append(0, ends * 2).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(b) // 2 for b in ids], pa.int64()), pa.array(_lexical_keys(ids)), pa.array(ids, pa.binary())],
+                    [
+                        part.column("doc_id"), pa.array(np.diff(ends, prepend=0)), pa.array(_lexical_keys(ids, ends)),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(ids)]),
+                    ],
                     names=["doc_id", "n", "key", "ids"],
                 )
 
@@ -134,10 +190,41 @@ def tokenized(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return chosen.mapInArrow(run, "doc_id long, n long, key long, ids binary")
 
 
+class Corpus(NamedTuple):
+    """What BM25 takes from all documents: how many there are, their mean length, and how many hold each id."""
+
+    rows: int
+    mean_length: float
+    frequency: np.ndarray
+
+
+def document_frequencies(tokens: DataFrame) -> np.ndarray:
+    """How many rows of ``tokens`` hold each id; at most 65,536 sums, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for part in slices(batch, "ids", 1 << 22):
+                sizes = pc.binary_length(part.column("ids")).to_numpy() // 2
+                ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), np.uint16).astype(np.int64)
+                pairs = np.sort((np.repeat(np.arange(len(sizes)), sizes) << 16) | ids)
+                first = np.append(True, pairs[1:] != pairs[:-1])
+                found += np.bincount(pairs[first] & 0xFFFF, minlength=1 << 16)
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(found[held])], names=["id", "df"])
+
+    sums = tokens.select("ids").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df"))
+    out = np.zeros(1 << 16, np.int64)
+    for row in sums.collect():
+        out[row.id] = row.df
+    return out
+
+
 class Shard:
-    """BM25 over the documents of one shard; ``order()`` is the order in which they are packed."""
+    """BM25 over the documents of one shard, weighed by the whole corpus (or by the shard, where
+    none is given); ``order()`` is the order in which they are packed."""
 
-    def __init__(self, ids: list[np.ndarray]):
+    def __init__(self, ids: list[np.ndarray], corpus: Corpus | None = None):
         self.lengths = np.array([len(x) for x in ids], np.int64)
         flat = np.concatenate(ids).astype(np.int64)
         pairs = np.sort((np.repeat(np.arange(len(ids)), self.lengths) << 16) | flat)
@@ -145,8 +232,9 @@ class Shard:
         tf = np.diff(np.append(first, len(pairs)))
         self.row, self.term = pairs[first] >> 16, pairs[first] & 0xFFFF
         df = np.bincount(self.term, minlength=1 << 16)
-        idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
-        length = self.lengths[self.row] / self.lengths.mean()
+        corpus = corpus or Corpus(len(ids), self.lengths.mean(), df)
+        idf = np.log1p((corpus.rows - corpus.frequency + 0.5) / (corpus.frequency + 0.5))
+        length = self.lengths[self.row] / corpus.mean_length
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
         self.shared = df[self.term] > 1
         self.first_term = np.searchsorted(self.row, np.arange(len(ids) + 1))
@@ -203,7 +291,7 @@ def cuts(total: int, window: int = WINDOW) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def _pack(window: int, with_ids: bool):
+def _pack(window: int, with_ids: bool, corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _WORD_IDS.clear()  # the ids of words this worker remembers have served
         doc_ids, ids = [], []
@@ -212,7 +300,7 @@ def _pack(window: int, with_ids: bool):
             ids += [np.frombuffer(b, np.uint16).copy() for b in batch.column("ids").to_pylist()]
         if not ids:
             return
-        shard = Shard(ids)
+        shard = Shard(ids, corpus)
         order = np.array(shard.order(window))
         starts = np.append(0, np.cumsum(shard.lengths[order]))
         ends = cuts(int(starts[-1]), window)
@@ -246,13 +334,17 @@ def pack(
     """One row per piece: which ids of which document stand where in which sequence.
 
     Every id of every row lies in one piece; repeated rows are packed as often as they occur.
-    Documents without an id keep a null one. An empty table gives no pieces. ``window`` must be
-    a power of two.
+    Documents without an id keep a null one; a null text counts as empty and has the end id only.
+    A text of any length is tokenized whole and cut where windows end; ties of score go to the
+    document first by hash. An empty table gives no pieces. Columns other than the two named are
+    not read. ``window`` must be a power of two. ``tokenizer`` is the path of a vocabulary of at
+    most 65,536 ids whose tokens end at white space and case-folded words of letters.
     """
     tokens = materialise(tokenized(documents, doc_id, text, tokenizer), "packing-tokens")
     total, rows = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shards = max(1, min(rows, -(-total // shard_tokens)))
+    corpus = Corpus(rows, total / max(1, rows), document_frequencies(tokens))
     dealt = tokens.withColumn("tie", F.xxhash64("doc_id")).repartitionByRange(shards, "key", "tie")
     ordered = dealt.sortWithinPartitions("key", "tie", "doc_id", "n").select("doc_id", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ordered.mapInArrow(_pack(window, with_ids), schema + (", ids array<int>" if with_ids else ""))
+    return ordered.mapInArrow(_pack(window, with_ids, corpus), schema + (", ids array<int>" if with_ids else ""))

@@ -143,6 +143,38 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_word_ids_are_the_tokenizers(monkeypatch):
+    """Whatever stands in a text, and when most words have been forgotten in between."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    words = packing.WordIds(packing.word_ids_path())
+    texts = [
+        "", " ", "a", "A.", "it's It'S (IT'S)", "x|y | z||", "caf\u00e9 CAF\u00c9! cafe\u0301 H\u0331", "\u0130stanbul \u00df\u1e9e",
+        "a\r\nb\u00a0c\u2003d\x0be\x85f", "12,345.67% #tag @me_too", "\u4f60\u597d \U0001f600!", "<|endoftext|> <|startoftext|>.", "word " * 500, "y" * 3000,
+        "Zebra zebra ZEBRA; zebra?!", "\n\n\t\n", "\u00d7 a\u00f7b \u00ff\u00c0.",
+    ]
+    for _ in range(2):
+        for column in (texts, texts[::-1], texts[2:3]):
+            want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in column]
+            ids, ends = words.texts(pa.array(column))
+            assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
+def test_packing_weighs_by_the_whole_corpus(spark):
+    """Frequencies are those of all rows; an id common elsewhere counts little in a shard where it is rare."""
+    rows = [(i, 0, 0, np.array([7, 7, 10 + i % 3, 65_535 if i == 4 else 8], np.uint16).tobytes()) for i in range(12)]
+    tokens = spark.createDataFrame(rows, "doc_id long, n long, key long, ids binary").repartition(3)
+    held = packing.document_frequencies(tokens)
+    assert {i: int(held[i]) for i in np.flatnonzero(held)} == {7: 12, 8: 11, 10: 4, 11: 4, 12: 4, 65_535: 1}
+    ids = [np.array(x, np.uint16) for x in ([50, 51], [50, 60], [51, 61])]
+    frequency = np.zeros(1 << 16, np.int64)
+    frequency[[50, 51, 60, 61]] = 900, 2, 1, 1
+    assert packing.Shard(ids, packing.Corpus(1000, 2.0, frequency)).neighbours(0).tolist() == [0, 2, 1]
+    frequency[[50, 51]] = 2, 900
+    assert packing.Shard(ids, packing.Corpus(1000, 2.0, frequency)).neighbours(0).tolist() == [0, 1, 2]
+
+
 def test_packing_scores_all_terms_of_a_seed():
     """A document that shares only one of a seed's weak terms comes before strangers."""
     strong = list(range(100, 108))
