@@ -31,6 +31,8 @@ SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 # Words of which a task remembers the ids; two generations of this size are kept.
 CACHE_WORDS = 450_000
+# Neighbours of a seed that are sorted at once.
+HEAD = 64
 # Words encoded as one text.
 GROUP_WORDS = 200
 
@@ -238,23 +240,38 @@ class Shard:
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
         self.shared = df[self.term] > 1
         self.first_term = np.searchsorted(self.row, np.arange(len(ids) + 1))
+        # an id that at least a quarter of the documents hold has a whole row of weights, any other a list
+        whole = np.flatnonzero(4 * df >= len(ids))
+        self.whole = np.full(1 << 16, -1)
+        self.whole[whole] = np.arange(len(whole))
+        at = self.whole[self.term]
+        self.rows = np.zeros((len(whole), len(ids)))
+        self.rows[at[at >= 0], self.row[at >= 0]] = self.weight[at >= 0]
         by_term = np.argsort(self.term, kind="stable")
         self.posted, self.posted_weight = self.row[by_term], self.weight[by_term]
         self.first_post = np.searchsorted(self.term[by_term], np.arange((1 << 16) + 1))
         self.used = np.zeros(len(ids), bool)
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share any term of the seed, best first."""
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused documents that share any term of the seed, best first; the rest is sorted when it is asked for."""
         low, high = self.first_term[seed], self.first_term[seed + 1]
         terms = self.term[low:high][self.shared[low:high]]
+        dense = self.whole[terms]
+        terms = terms[dense < 0]
         starts = self.first_post[terms]
         counts = self.first_post[terms + 1] - starts
         ends = np.cumsum(counts)
         at = np.arange(counts.sum()) + np.repeat(starts - ends + counts, counts)
-        scores = np.bincount(self.posted[at], self.posted_weight[at], len(self.used))
+        scores = self.rows[dense[dense >= 0]].sum(axis=0)
+        scores += np.bincount(self.posted[at], self.posted_weight[at], len(self.used))
         scores[self.used] = 0.0
         found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        while len(found) > HEAD:
+            edge = np.partition(scores[found], -HEAD)[-HEAD]
+            best = scores[found] >= edge
+            head, found = found[best], found[~best]
+            yield from head[np.argsort(-scores[head], kind="stable")].tolist()
+        yield from found[np.argsort(-scores[found], kind="stable")].tolist()
 
     def order(self, window: int = WINDOW) -> list[int]:
         out: list[int] = []
@@ -263,7 +280,7 @@ class Shard:
             chosen = None
             if seed is not None:
                 if waiting is None:
-                    waiting = iter(self.neighbours(seed))
+                    waiting = self.neighbours(seed)
                 chosen = next((d for d in waiting if not self.used[d]), None)
             if chosen is None:
                 while self.used[upcoming]:

@@ -170,9 +170,36 @@ def test_packing_weighs_by_the_whole_corpus(spark):
     ids = [np.array(x, np.uint16) for x in ([50, 51], [50, 60], [51, 61])]
     frequency = np.zeros(1 << 16, np.int64)
     frequency[[50, 51, 60, 61]] = 900, 2, 1, 1
-    assert packing.Shard(ids, packing.Corpus(1000, 2.0, frequency)).neighbours(0).tolist() == [0, 2, 1]
+    assert list(packing.Shard(ids, packing.Corpus(1000, 2.0, frequency)).neighbours(0)) == [0, 2, 1]
     frequency[[50, 51]] = 2, 900
-    assert packing.Shard(ids, packing.Corpus(1000, 2.0, frequency)).neighbours(0).tolist() == [0, 1, 2]
+    assert list(packing.Shard(ids, packing.Corpus(1000, 2.0, frequency)).neighbours(0)) == [0, 1, 2]
+
+
+def test_packing_neighbours_against_plain_bm25(monkeypatch):
+    """Lists and whole rows of weights, sorted piece by piece, give every neighbour in order of its plain score."""
+    monkeypatch.setattr(packing, "HEAD", 7)
+    drawn = np.random.default_rng(6)
+    ids = [np.append(drawn.zipf(1.3, drawn.integers(1, 60)) % 500, 2).astype(np.uint16) for _ in range(150)]
+    ids[40:60] = ids[20:40]
+    shard = packing.Shard(ids)
+    shard.used[5:15] = True
+    counts = [Counter(x.tolist()) for x in ids]
+    df = Counter(t for c in counts for t in c)
+    mean = sum(map(len, ids)) / len(ids)
+
+    def score(seed, d):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(ids[d]) / mean)
+        shared = [t for t in counts[seed] if t in counts[d] and df[t] > 1]
+        return sum(
+            math.log1p((len(ids) - df[t] + 0.5) / (df[t] + 0.5)) * counts[d][t] * (packing.K1 + 1) / (counts[d][t] + norm) for t in shared
+        )
+
+    for seed in (0, 33, 149):
+        found = list(shard.neighbours(seed))
+        want = {d: score(seed, d) for d in range(150) if not 5 <= d < 15}
+        assert sorted(found) == sorted(d for d, s in want.items() if s > 0)
+        got = [want[d] for d in found]
+        assert all(a >= b - 1e-9 for a, b in zip(got, got[1:]))
 
 
 def test_packing_scores_all_terms_of_a_seed():
