@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.scratch import scratch_path
 from .common import table
 from .registry import query
-from .secrets import RULES, spans_text, update_ledger, with_findings
+from .secrets import RULES, ledger_path, spans_text, update_ledger, with_findings
 
 
 def _matches_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
@@ -42,7 +41,7 @@ from rows_ left join spans using (rid) group by rid, doc_id
 @query("op7_secret_ledger", secrets_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = update_ledger(documents, scratch_path(spark, "secret-ledger"))
+    ledger = update_ledger(documents, ledger_path(spark))
     found = with_findings(documents, ledger)
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..sources.scratch import scratch_path
+
 # A rule: (kind, pattern, group or 0, least length of that group). Matches are leftmost and do
 # not overlap within a kind; those that fall short are dropped after matching.
 # Fixed values of the first rule version.
@@ -28,6 +30,8 @@ ISSUER_RULES = (
 )
 RULES = {1: BASE_RULES, 2: ISSUER_RULES}
 
+# Session setting: the folder of a ledger that outlives the run; unset, every run opens a new one.
+LEDGER_SETTING = "spark.marketlens.secretLedger"
 LEDGER_SCHEMA = "blob string, findings array<struct<kind:string,start:int,end:int>>, rule_version int"
 
 
@@ -80,6 +84,12 @@ def in_order(spans: Column, kinds: list[str]) -> Column:
     )
 
 
+def ledger_path(spark: SparkSession) -> str:
+    """Where queries and the pipeline keep their ledger: the folder that the session names, so that a
+    later run scans only what is new, or else one of this run in the shared scratch folder."""
+    return spark.conf.get(LEDGER_SETTING, None) or scratch_path(spark, "secret-ledger")
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger at ``path``; an empty one when nothing was written yet."""
     try:
