@@ -46,7 +46,8 @@ def fuzzy_match(
     def forms(df: DataFrame, side: str) -> DataFrame:
         return df.select("*", F.explode(_deletions(F.col(f"{side}_name"), max_edits)).alias("_form"))
 
-    candidates = forms(names(left, left_name, "left"), "left").join(
+    # Forms are many times what Spark takes their size for: neither side may be broadcast.
+    candidates = forms(names(left, left_name, "left"), "left").hint("merge").join(
         forms(names(right, right_name, "right"), "right"), "_form"
     )
     edits = F.levenshtein("left_name", "right_name", max_edits)

@@ -110,6 +110,12 @@ def test_fuzzy_match_finds_every_pair(spark):
         assert got["acme", "acme"]["left_records"] == 2
 
 
+def test_fuzzy_match_broadcasts_no_forms(spark, plan_of):
+    df = spark.createDataFrame([("acme",), ("acne",)], "n string")
+    pairs = matching.fuzzy_match(df, df, "n", "n")
+    assert "SortMergeJoin" in plan_of(pairs) and "Broadcast" not in plan_of(pairs)
+
+
 def test_fuse_loses_no_record(spark):
     left = spark.createDataFrame([(1, "k", None), (2, "k", "b"), (3, None, "c")], "company_id long, n string, s string")
     right = spark.createDataFrame([(8, "k", "e"), (9, None, "f"), (10, "z", "g"), (11, "k", "h")], "external_id long, n string, s string")
