@@ -120,7 +120,7 @@ def extract_status(c: Column | str) -> Column:
 
 def keyword_split(c: Column | str) -> Column:
     """Comma list to array: blanks go first, then quotes and spaces are peeled off."""
-    parts = F.filter(F.split(_col(c), ","), lambda x: strip(x) != "")
+    parts = F.filter(F.split(_col(c), ","), lambda x: x.rlike(f"[^{WHITESPACE}]"))
     return F.transform(parts, lambda x: F.btrim(x, F.lit('" ')))
 
 
@@ -132,7 +132,6 @@ def keyword_pack(
     Only lengths are folded; the text is put together once. Empty keywords add
     no joiner while the query is still empty, so leading ones are skipped.
     """
-    words = _col(keywords)
     state = F.struct(*[F.lit(0).alias(n) for n in ("chars", "kept", "skipped", "full")])
 
     def step(acc: Column, word: Column) -> Column:
@@ -147,11 +146,13 @@ def keyword_pack(
             F.when(fits, 0).otherwise(1).alias("full"),
         )
 
-    def put_together(counts: Column) -> Column:
-        return F.array_join(F.slice(words, counts["skipped"] + 1, counts["kept"]), KEYWORD_JOINER)
+    def pack(words: Column) -> Column:
+        return let(
+            F.aggregate(words, state, step),
+            lambda counts: F.array_join(F.slice(words, counts["skipped"] + 1, counts["kept"]), KEYWORD_JOINER),
+        )
 
-    packed = F.aggregate(words, state, step, put_together)
-    return F.coalesce(blank_to_null(packed), _col(fallback))
+    return F.coalesce(let(let(_col(keywords), pack), blank_to_null), _col(fallback))
 
 
 def search_query_text(force: Column | str, keywords: Column | str) -> Column:

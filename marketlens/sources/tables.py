@@ -203,12 +203,18 @@ def _inputs(sql: str) -> list[str]:
     return sorted({f for _, f, _, _ in Formatter().parse(sql) if f})
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = False) -> DataFrame:
+    """A derived table; ``spread`` deals the rows of its inputs out evenly first.
+
+    A table of short rows may be one file of one row group, which only one task can read.
+    """
     sql = DERIVED[name]
     inputs = {
         i: derived(spark, sf_dir, i) if i in DERIVED else table(spark, sf_dir, i)
         for i in _inputs(sql)
     }
+    if spread:
+        inputs = {i: df.hint("rebalance") for i, df in inputs.items()}
     return spark.sql(sql, **inputs)
 
 

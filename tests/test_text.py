@@ -60,6 +60,18 @@ def test_keyword_packing_stops_at_the_first_overflow(spark):
     assert [r[0] for r in packed] == ["aa", "orig"]
 
 
+def test_keywords_are_split_once_and_by_many_tasks(spark, sf_dir, plan_of):
+    from marketlens import plans
+
+    for name in ("keyword_pack", "search_query_text"):
+        plan = plan_of(plans.QUERIES[name](spark, sf_dir))
+        assert plan.count(", ,, -1)") == 1 and "RoundRobinPartitioning" in plan
+    rows = [("\u3000,\x1f\x85 ,a,\u200b, \n", "f"), (" ,", "f"), (None, "f"), ('",",b', "f")]
+    df = spark.createDataFrame(rows, "k string, f string")
+    packed = df.select(text.keyword_pack(text.keyword_split("k"), "f")).collect()
+    assert [r[0] for r in packed] == ["a OR \u200b", "f", "f", "b"]
+
+
 @pytest.mark.parametrize("fn", [text.normalize_email, text.normalize_url])
 def test_idempotent(spark, fn):
     inputs = [" A@b.CO ", "a.example", "http://x y", "https://%41", "x@@y.zz", "http://-", "é@b.co"]
