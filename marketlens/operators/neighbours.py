@@ -18,12 +18,17 @@ DEFAULT_K = 4
 # beyond it both sides are exchanged in blocks.
 BROADCAST_VALUES = 8_000_000
 BLOCK_ROWS = 32_768
+# Tasks that groups of queries and items are dealt to, at most.
+MOST_TASKS = 1_000
 # A first sample of the corpus sets upper bounds; each further pass reads FAN times as much.
 FIRST_ROWS = 262_144
 FAN = 64
 # Cells whose figures are broadcast; their number is known before.
 BROADCAST_CELLS = 1_000_000
 _CELLS_PER_STEP = 4_000_000
+# Rows measured at once, and columns that bound a query before its first neighbours are known.
+_MEASURED = 200_000
+_THIN = 8_192
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -55,57 +60,109 @@ def rough_distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return scale - 2.0 * (a @ b.T), scale * (4 * (a.shape[1] + 8) * np.finfo(float).eps)
 
 
+class HalfDistances:
+    """Half the squared distances of ``a`` to ``b``, less half the squared length of each row of ``a``,
+    by one product: for one row of ``a`` they rank as the distances do.
+
+    Both sides are moved to the middle of ``b`` first. The product is of single precision unless
+    lengths forbid; ``error`` bounds, per row of ``a``, what it adds to a squared distance.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        middle = b.mean(axis=0)
+        a, b = a - middle, b - middle
+        self.own, lengths = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        kind = np.float32 if max(self.own.max(), lengths.max()) < 1e30 else np.float64
+        self._left = np.column_stack([-a, np.ones(len(a))]).astype(kind)
+        self._right = np.column_stack([b, lengths / 2]).astype(kind).T
+        self.error = (self.own + lengths.max()) * (4 * (b.shape[1] + 8) * np.finfo(kind).eps) + 1e-30
+
+    def rows(self, low: int, high: int) -> np.ndarray:
+        return self._left[low:high] @ self._right
+
+    def level(self, low: int, high: int, limits: np.ndarray) -> np.ndarray:
+        """What no row within ``limits`` (squared distances) exceeds."""
+        return ((limits - self.own[low:high] + self.error[low:high]) / 2).astype(self._left.dtype)[:, None]
+
+
+def thin_bounds(rough: np.ndarray, count: int) -> np.ndarray:
+    """Per row a value that at least ``count`` of its columns do not exceed, from every few columns."""
+    thin = rough[:, :: max(1, rough.shape[1] // max(_THIN, 4 * count))]
+    return np.partition(thin, count - 1, axis=1)[:, count - 1]
+
+
+def pieces(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose counts sum to ``most`` or less, or of a single row."""
+    ends, low = np.cumsum(counts), 0
+    while low < len(counts):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield low, high
+        low = high
+
+
+def places(rows: np.ndarray, sorted_rows: np.ndarray) -> np.ndarray:
+    """The place of each of ``sorted_rows`` within its run of equal values, all of them from ``rows``."""
+    return np.arange(len(sorted_rows)) - np.repeat(np.searchsorted(sorted_rows, rows), np.bincount(sorted_rows - rows[0], minlength=len(rows)))
+
+
 class _Best:
     """The k smallest (distance, id) per query seen so far, none beyond the query's bound."""
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, skip_self: bool, bounds: np.ndarray | None = None):
         self.query_ids, self.queries, self.k, self.skip_self = query_ids, queries, k, skip_self
-        self.found: list[tuple[np.ndarray, np.ndarray]] = [
-            (np.empty(0), np.empty(0, np.int64)) for _ in query_ids
-        ]
+        self.sizes = np.zeros(len(query_ids), np.int64)
+        self.distances, self.ids = np.empty((len(query_ids), k)), np.empty((len(query_ids), k), np.int64)
         # Distance to beat, per query: the bound until k neighbours are known.
-        self.limits = np.full(len(query_ids), np.inf) if bounds is None else bounds.copy()
+        self.limits = np.full(len(query_ids), np.inf) if bounds is None else bounds.astype(float)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         if len(ids) == 0 or len(self.query_ids) == 0:
             return
+        half = HalfDistances(self.queries, vectors)
+        order = np.argsort(ids, kind="stable") if self.skip_self else None
         step = max(1, _CELLS_PER_STEP // len(ids))
         for low in range(0, len(self.query_ids), step):
-            rough, error = rough_distances(self.queries[low : low + step], vectors)
-            promising = (rough - error).min(axis=1) <= self.limits[low : low + step]
-            for i in np.flatnonzero(promising):
-                self._merge(low + i, rough[i], error[i], ids, vectors)
-
-    def _merge(
-        self, i: int, rough: np.ndarray, error: np.ndarray, ids: np.ndarray, vectors: np.ndarray
-    ) -> None:
-        """All rows that may be among the nearest are measured again by plain difference."""
+            high = min(low + step, len(self.query_ids))
+            rough = half.rows(low, high)
+            if self.skip_self:
+                first, last = (np.searchsorted(ids, self.query_ids[low:high], side, order) for side in ("left", "right"))
+                for i in np.flatnonzero(last > first):
+                    rough[i, order[first[i] : last[i]]] = np.inf
+            limits = self.limits[low:high]
+            open_ = np.flatnonzero(np.isinf(limits)) if len(ids) > self.k else ()
+            if len(open_):
+                limits = limits.copy()
+                limits[open_] = half.own[low + open_] + 2 * thin_bounds(rough[open_], self.k).astype(float) + half.error[low + open_]
+            near = rough <= half.level(low, high, limits)
+            for start, end in pieces(np.count_nonzero(near, axis=1), _MEASURED):
+                i, j = np.divmod(np.flatnonzero(near[start:end]), len(ids))
+                self._merge(low + start, low + end, low + start + i, ids[j], vectors[j])
+
+    def _merge(self, low: int, high: int, places_: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Rows that may be among the nearest of queries ``low`` to ``high`` are measured again by plain difference."""
+        exact = squared_distances(vectors, self.queries[places_])
+        within = exact <= self.limits[places_]
         if self.skip_self:
-            other = ids != self.query_ids[i]
-            rough, error, ids, vectors = rough[other], error[other], ids[other], vectors[other]
-        limit = self.limits[i]
-        if len(rough) > self.k:
-            limit = min(limit, np.partition(rough + error, self.k - 1)[self.k - 1])
-        near = rough - error <= limit
-        if not near.any():
+            within &= ids != self.query_ids[places_]
+        if not within.any():
             return
-        best, best_ids = self.found[i]
-        exact = squared_distances(vectors[near], self.queries[i])
-        within = exact <= self.limits[i]
-        distances = np.concatenate([best, exact[within]])
-        ids = np.concatenate([best_ids, ids[near][within]])
-        order = np.lexsort((ids, distances))[: self.k]
-        self.found[i] = (distances[order], ids[order])
-        if len(order) == self.k:
-            self.limits[i] = distances[order[-1]]
+        held = np.arange(self.k) < self.sizes[low:high, None]
+        owner = np.concatenate([low + np.nonzero(held)[0], places_[within]])
+        distances = np.concatenate([self.distances[low:high][held], exact[within]])
+        ids = np.concatenate([self.ids[low:high][held], ids[within]])
+        order = np.lexsort((ids, distances, owner))
+        owner, distances, ids = owner[order], distances[order], ids[order]
+        rank = places(np.arange(low, high), owner)
+        kept = rank < self.k
+        self.distances[owner[kept], rank[kept]], self.ids[owner[kept], rank[kept]] = distances[kept], ids[kept]
+        self.sizes[low:high] = np.minimum(np.bincount(owner - low, minlength=high - low), self.k)
+        full = low + np.flatnonzero(self.sizes[low:high] == self.k)
+        self.limits[full] = self.distances[full, self.k - 1]
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        counts = [len(d) for d, _ in self.found]
-        return (
-            np.repeat(self.query_ids, counts),
-            np.concatenate([i for _, i in self.found]) if counts else np.empty(0, np.int64),
-            np.concatenate([d for d, _ in self.found]) if counts else np.empty(0),
-        )
+        held = np.arange(self.k) < self.sizes[:, None]
+        return np.repeat(self.query_ids, self.sizes), self.ids[held], self.distances[held]
 
 
 _HITS = "query_id long, item_id long, distance double"
@@ -166,7 +223,7 @@ def nearest(
 ) -> DataFrame:
     """``(query_id, item_id, distance, rank)`` of the k nearest under squared L2, ties by id.
 
-    Few queries: their matrix is broadcast and each task scans its part of the corpus. A sample by
+    Few queries (at most ``block_rows``): their matrix is broadcast and each task scans its part of the corpus. A sample by
     hash of id, and then a larger one while that is needed, gives every query an upper bound, so
     the last scan returns about FAN times k rows per query, however many tasks there are.
     Many queries: ``block_join``.
@@ -176,7 +233,8 @@ def nearest(
     q = _vectors(queries, *query_columns)
     c = _vectors(corpus, *corpus_columns)
     few = bounded_queries(q, broadcast_values)
-    if few is None:
+    # Many queries meet the corpus in tasks of both sides, however few tasks read the corpus.
+    if few is None or few.num_rows > block_rows:
         return block_join(q, c, k, skip_self=skip_self, block_rows=block_rows)
     ids, matrix = few.column("id").to_numpy(), _matrix(few.column("v"))
     bounds, shares = None, sample_shares(c)
@@ -249,9 +307,11 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(cells, f"id long, v {vector_type}, cell int, reach double")
 
 
-def meet_in_blocks(routed: DataFrame, items: DataFrame, block_rows: int, meet, schema: str) -> DataFrame:
+def meet_in_blocks(routed: DataFrame, items: DataFrame, block_rows: int, meet, schema: str, tasks: int = 1) -> DataFrame:
     """Cogroup ``routed`` queries and ``items``, both with (id, cell, block), and apply ``meet`` to each group.
 
+    A group is little data and much work, so the groups are dealt to ``tasks`` tasks, however few bytes they hold.
+
     Where many queries visit one block they are split into equal parts and the block's rows repeated
     for each, so a task holds about ``block_rows`` rows of a side. Items of a block that no query
     visits go nowhere.
@@ -262,9 +322,15 @@ def meet_in_blocks(routed: DataFrame, items: DataFrame, block_rows: int, meet, s
     left = routed.join(loads, keys).withColumn("part", part).drop("parts")
     right = items.join(loads, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     keys = [*keys, "part"]
+    left, right = (side.repartition(tasks, *keys) for side in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
 
 
+def tasks_for(queries: int, blocks: int, block_rows: int) -> int:
+    """Tasks for the groups in which so many queries meet so many blocks: bounded, and several groups each beyond that."""
+    return max(1, min(MOST_TASKS, blocks * -(-queries // block_rows)))
+
+
 class _Cells:
     """Cells of the corpus: their pivots, rows, reach and number of blocks."""
 
@@ -325,6 +391,7 @@ def block_join(
     items = c_cells.join(sizes, "cell").select("id", "v", F.col("at").alias("cell"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
 
     need = k + (1 if skip_self else 0)
+    tasks = tasks_for(q.count(), int(cells.blocks.sum()), block_rows)
     shared = spark.sparkContext.broadcast(cells)
     kind = q.schema["v"].dataType.simpleString()
 
@@ -354,7 +421,7 @@ def block_join(
         return _hits(pa.Table.from_arrays, best)
 
     routed = f"id long, v {kind}, bound double, cell int, block int"
-    first = meet_in_blocks(q.mapInArrow(to_first, routed), items, block_rows, meet, _HITS)
+    first = meet_in_blocks(q.mapInArrow(to_first, routed), items, block_rows, meet, _HITS, tasks)
     if len(order) == 1 and cells.blocks[0] == 1:
         return top_k(first, k)
     path = scratch_path(spark, "first-hits")
@@ -362,5 +429,5 @@ def block_join(
     first = spark.read.schema(first.schema).parquet(path)
     bounds = top_k(first, k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
     bounded = q.join(bounds, "id", "left").select("id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    others = meet_in_blocks(bounded.mapInArrow(to_others, routed), items, block_rows, meet, _HITS)
+    others = meet_in_blocks(bounded.mapInArrow(to_others, routed), items, block_rows, meet, _HITS, tasks)
     return top_k(first.unionByName(others), k)

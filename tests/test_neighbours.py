@@ -119,3 +119,31 @@ def test_prompts(spark):
     assert got["Rivalry"][0] == "rivalry" and got["Nope"] == (None, None)
     with pytest.raises(Exception, match="Unknown force: Nope"):
         retrieval.render_prompt(df, dim.forces(spark), dim.templates(spark)).collect()
+
+
+def test_best_rows_of_a_crowd_and_far_from_zero():
+    rng = np.random.default_rng(5)
+    v = np.vstack([rng.normal(size=(900, 6)), np.tile([0.25] * 6, (700, 1))])
+    ids = np.concatenate([np.arange(1500), np.arange(100)])  # a hundred ids come twice
+    for moved in (v, v * 1e-3 + 1e6, v * 1e18):
+        best = neighbours._Best(ids, moved, 7, True)
+        for low in range(0, 1600, 400):
+            best.add(ids[low : low + 400], moved[low : low + 400])
+        queries, items, distances = best.arrays()
+        for q in range(0, 1600, 13):
+            d = neighbours.squared_distances(moved, moved[q])
+            want = sorted((x, i) for x, i in zip(d, ids) if i != ids[q])[:7]
+            mine = slice(7 * q, 7 * q + 7)
+            assert (queries[mine] == ids[q]).all() and list(zip(distances[mine], items[mine])) == want
+
+
+def test_many_queries_meet_in_tasks_of_both_sides(spark, monkeypatch):
+    """However few tasks read the items: neither one scan nor one coalesced partition does the work."""
+    v = corpus_rows()
+    items = table(spark, enumerate(v)).coalesce(1)
+    tasks = []
+    plain = neighbours.meet_in_blocks
+    monkeypatch.setattr(neighbours, "meet_in_blocks", lambda *a: tasks.append(a[5]) or plain(*a))
+    got = neighbours.nearest(items, items, 5, query_columns=("vec_id", "embedding"), block_rows=60)
+    assert ranked(got) == brute(v, dict(enumerate(v)), 5, False)
+    assert len(tasks) == 2 and all(t >= len(v) // 60 for t in tasks)
