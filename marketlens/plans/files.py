@@ -172,7 +172,10 @@ def vector_table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.retrieval import embed_hash
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    chunks = embed_hash(chunk_windows(docs, "text"), "chunk_text")
+    # Embedded once: each append would embed all texts again.
+    chunks, once = embed_hash(chunk_windows(docs, "text"), "chunk_text"), scratch_path(spark, "embedded")
+    chunks.write.parquet(once)
+    chunks = spark.read.schema(chunks.schema).parquet(once)
     path = scratch_path(spark, "vectors")
     vector_store.append(chunks, path, "documents")
     vector_store.append(chunks, path, "documents")

@@ -96,3 +96,13 @@ def test_chunks_of_one_hash_stay_two(spark, tmp_path):
     asked = embed_hash(spark.createDataFrame([(9, "bank open")], "query_id long, chunk_text string"), "chunk_text")
     hits = nearest(asked, index, k=3, query_columns=("query_id", "embedding"), corpus_columns=("chunk_id", "embedding"))
     assert [r["item_id"] for r in hits.collect()] == [7, 7, 7]
+
+
+def test_append_query_embeds_once(spark, sf_dir, plan_of, monkeypatch):
+    from marketlens import plans
+    from marketlens.sources import vector_store
+
+    given, plain = [], vector_store.append
+    monkeypatch.setattr(vector_store, "append", lambda chunks, *a, **b: given.append(plan_of(chunks)) or plain(chunks, *a, **b))
+    plans.QUERIES["vector_table_append"](spark, sf_dir)
+    assert len(given) == 3 and not any("InArrow" in p or "Python" in p for p in given)
