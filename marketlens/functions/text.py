@@ -22,6 +22,7 @@ MAX_QUERY_CHARS = 400
 KEYWORD_JOINER = " OR "
 
 WORD = r"[\p{L}\p{N}]+"
+GAP = r"[^\p{L}\p{N}]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -161,3 +162,8 @@ def search_query_text(force: Column | str, keywords: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD), F.lit(0))
+
+
+def spaced(c: Column | str) -> Column:
+    """The tokens with one space between them."""
+    return F.trim(F.regexp_replace(F.lower(_col(c)), GAP, " "))

@@ -16,13 +16,17 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import text
 from ..sources.files import write_partitioned
+from ..sources.scratch import discard, scratch_path
 from .retrieval import BM25_B, BM25_K1, MAX_RESULTS, bm25_idf
 
 SEGMENT_ROWS = 8_192
+# Words of a segment, on average: one task holds a segment.
+SEGMENT_WORDS = 4_000_000
 BUCKETS = 64
 # Segments whose lists one task holds for a request.
 SEGMENTS_TOGETHER = 16
@@ -34,34 +38,80 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _part(tf: Column, length: Column, mean_length: float) -> Column:
+def _part(tf, length, mean_length: float):
     """A term's score in a document, but for its rarity."""
-    return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / F.lit(mean_length)))
-
-
-def write_index(docs: DataFrame, path: str, id_column: str, text_column: str, *, buckets: int = BUCKETS, segment_rows: int = SEGMENT_ROWS) -> None:
+    return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean_length))
+
+
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Places where a run of equal values begins."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for values in sorted_columns:
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _lists(mean_length: float):
+    def run(rows: pa.Table) -> pa.Table:
+        """The posting lists of one segment, from its rows (segment, id, length, words)."""
+        length = rows["length"].to_numpy().astype(np.int64)
+        ids = rows["id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        # a document is an id and a length; by length, so the blocks of a list stand in order
+        documents, document = np.unique(length * len(ids.dictionary) + ids.indices.to_numpy(), return_inverse=True)
+        lengths = documents // len(ids.dictionary)
+        # documents of similar length: their score parts differ by their counts alone
+        blocks = np.floor(4 * np.log2(lengths + 1)).astype(np.int32)
+        split = [pc.split_pattern(chunk, " ") for chunk in rows["words"].chunks]
+        words = pa.chunked_array([x.flatten() for x in split], pa.string()).dictionary_encode().unify_dictionaries()
+        code = np.concatenate([c.indices.to_numpy() for c in words.chunks]).astype(np.int64)
+        row = np.repeat(np.arange(len(length)), np.concatenate([pc.list_value_length(x).to_numpy() for x in split]))
+        worded = length[row] > 0
+        pairs, tf = np.unique(code[worded] * len(documents) + document[row[worded]], return_counts=True)
+        term, at = pairs // len(documents), pairs % len(documents)
+        part = _part(tf, lengths[at], mean_length)
+        first, first_of_block = _starts(term), _starts(term, blocks[at])
+        ends = pa.array(np.append(first, len(pairs)), pa.int32())
+        block_ends = pa.array(np.append(np.searchsorted(first_of_block, first), len(first_of_block)), pa.int32())
+        tops = np.maximum.reduceat(part, first_of_block) if len(part) else part
+        names = ids.dictionary.take(pa.array(documents % len(ids.dictionary))).take(pa.array(at))
+        lists = pa.ListArray.from_arrays
+        return pa.table(
+            {
+                "term": words.chunk(0).dictionary.take(pa.array(term[first])),
+                "segment": pa.array(np.full(len(first), rows["segment"][0].as_py()), pa.int32()),
+                "block": lists(ends, pa.array(blocks[at])), "id": lists(ends, names), "part": lists(ends, pa.array(part)),
+                "blocks": lists(block_ends, pa.array(blocks[at][first_of_block])), "tops": lists(block_ends, pa.array(tops)),
+            }
+        )
+
+    return run
+
+
+def write_index(docs: DataFrame, path: str, id_column: str, text_column: str, *, buckets: int = BUCKETS, segment_rows: int = SEGMENT_ROWS, segment_words: int = SEGMENT_WORDS) -> None:
     """Write ``path``/postings and ``path``/figures, replacing an index that is there.
 
     Rows with one id and one length count as one document; null texts are documents without words.
+    Texts are split once, into shared scratch, and exchanged by segment; a task makes all lists of a segment.
     """
     spark = docs.sparkSession
-    split = docs.select(F.col(id_column).alias("id"), F.coalesce(text.tokens(text_column), F.array().cast("array<string>")).alias("t"))
-    sizes = split.select("id", F.size("t").alias("length")).distinct()
+    spaced = docs.select(F.col(id_column).alias("id"), F.coalesce(text.spaced(text_column), F.lit("")).alias("words"))
+    gaps = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
+    scratch = scratch_path(spark, "posting-words")
+    sized = spaced.select("id", F.when(F.col("words") == "", 0).otherwise(gaps + 1).alias("length"), "words")
+    sized.write.parquet(scratch)
+    split = spark.read.schema(sized.schema).parquet(scratch)
+    sizes = split.select("id", "length").distinct()
     figures = sizes.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean_length")).first()
-    segments = max(1, -(-figures["n"] // (segment_rows // 2)))
-    counts = split.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    # documents of similar length: their score parts differ by their counts alone
-    block = F.floor(4 * F.log2(F.col("length") + 1)).cast("int")
-    placed = counts.select("term", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int").alias("segment"), block.alias("block"), "id", F.col("tf").cast("int").alias("tf"), "length")
-    lists = placed.groupBy("term", "segment").agg(F.sort_array(F.collect_list(F.struct("block", "id", "tf", "length"))).alias("e"))
-    parts = F.transform("e", lambda x: F.struct(x["block"].alias("block"), _part(x["tf"], x["length"], figures["mean_length"]).alias("part")))
-    places = F.array_distinct(F.transform("e", lambda x: x["block"]))
-    tops = F.transform(places, lambda b: F.array_max(F.transform(F.filter("p", lambda x: x["block"] == b), lambda x: x["part"])))
-    field = lambda name: F.transform("e", lambda x: x[name]).alias(name)
-    rows = lists.withColumn("p", parts).select(
-        "term", "segment", field("block"), field("id"), F.transform("p", lambda x: x["part"]).alias("part"), places.alias("blocks"), tops.alias("tops"), _bucket(F.col("term"), buckets).alias("bucket")
-    )
+    words = split.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    segments = max(1, -(-figures["n"] // (segment_rows // 2)), -(-words // segment_words))
+    placed = split.withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int"))
+    kind = docs.schema[id_column].dataType.simpleString()
+    schema = f"term string, segment int, block array<int>, id array<{kind}>, part array<double>, blocks array<int>, tops array<double>"
+    lists = placed.groupBy("segment").applyInArrow(_lists(figures["mean_length"]), schema)
+    rows = lists.withColumn("bucket", _bucket(F.col("term"), buckets))
     write_partitioned(rows, f"{path}/postings", "bucket")
+    discard(spark, scratch)
     # the schema is kept with the figures: an index without words has no file to tell it
     stored = spark.createDataFrame([(figures["n"], figures["mean_length"], buckets, rows.schema.json())], "n long, mean_length double, buckets int, schema string")
     stored.write.mode("overwrite").parquet(f"{path}/figures")

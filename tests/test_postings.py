@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -125,3 +126,28 @@ def test_idf_weighs_rare_words(spark):
     assert seen[1] / seen[0] == pytest.approx((math.log(5 / 2) + 1) / (math.log(5 / 4) + 1), rel=1e-5)
     with pytest.raises(ValueError, match="each place"):
         retrieval.embed_hash(table, "body", idf=[1.0])
+
+
+def test_an_index_is_made_with_one_exchange_of_texts_and_bounded_segments(spark, tmp_path, monkeypatch, plan_of):
+    """Words are not exchanged one by one, long texts make more segments, and rows of one id and length are one document."""
+    plans = []
+    write = postings.write_partitioned
+    monkeypatch.setattr(postings, "write_partitioned", lambda df, *a: (plans.append(plan_of(df)), write(df, *a)))
+    long = [("long", " ".join(f"w{i % 50}" for i in range(3_000))), ("same", "Éx w1, W1"), ("same", "w1 w1 y"), (None, "w1")]
+    docs = spark.createDataFrame(documents(60) + long, "name string, body string")
+    postings.write_index(docs, f"{tmp_path}/a", "name", "body", segment_words=100)
+    assert plans[0].count("Exchange hashpartitioning") + plans[0].count("\nArguments: hashpartitioning") == 1 and "Generate" not in plans[0]
+    stored = spark.read.parquet(f"{tmp_path}/a/postings")
+    assert stored.select("segment").distinct().count() > 20
+    rows = stored.filter("term = 'w1'").select(F.explode(F.arrays_zip("id", "part", "block"))).select("col.*").collect()
+    n = spark.read.parquet(f"{tmp_path}/a/figures").first()
+    sizes = {(i, len(postings_words(t))): None for i, t in docs.collect()}
+    assert n["n"] == len(sizes) and n["mean_length"] == pytest.approx(sum(k for _, k in sizes) / len(sizes))
+    parts = {r["id"]: r["part"] for r in rows}
+    length = 3 / n["mean_length"]
+    assert len(rows) == len(parts) and None in parts
+    assert parts["same"] == pytest.approx(4 * 2.2 / (4 + 1.2 * (0.25 + 0.75 * length)))
+
+
+def postings_words(t):
+    return re.findall(r"[^\W_]+", (t or "").lower())
