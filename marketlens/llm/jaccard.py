@@ -10,9 +10,10 @@ bucket are listed as it streams by. Partial overlaps are counted per fragment an
 summed per pair; pairs whose overlap in the prefixes rules out the threshold are not counted.
 
 A crowded bucket is not paired off: its classes are compared with hubs, the members with the
-most links so far, and with a few others, and components of the links found are merged. Only
-pairs whose components still differ are then listed, each in the first n-gram it shares. So no
-link between components is missed.
+most links so far, and with a few others, and components of the links found are merged. What is
+left apart meets block by block, by maps of bits that bound what a pair can share; only pairs
+whose components differ and whose maps leave enough are listed. So no link between components
+is missed.
 """
 
 from __future__ import annotations
@@ -36,10 +37,12 @@ CROWD = 64
 CROWD_ROUNDS = 2
 # Hubs a class of a crowded bucket is compared with in one round.
 HUBS = 4
-# First n-grams of a class that travel with its rows, to tell where a pair has met before.
-HEADS = 8
+# Classes of a crowded bucket that meet as many others in one task.
+CROWD_BLOCK = 1 << 12
 # Classes whose texts are looked up by a broadcast of their ids; beyond, by a join.
 LOOKUP_ROWS = 300_000
+# Bits of the map that bounds what two classes of a crowded bucket can share, before their sets are moved.
+BITS = 1 << 10
 
 
 def gram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -273,6 +276,22 @@ def _fragments(n: int, cells):
     return run
 
 
+def _bit_maps(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                maps = np.zeros((part.num_rows, BITS), bool)
+                for row, grams in enumerate(gram_sets(part.column("text"), n)):
+                    maps[row, (grams % np.uint64(BITS)).astype(np.int64)] = True
+                words = np.packbits(maps, axis=1).view(np.int64)
+                ends = pa.array(np.arange(len(words) + 1) * words.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("class"), pa.ListArray.from_arrays(ends, pa.array(words.ravel())), pa.array(maps.sum(axis=1), pa.int32())], names=["class", "bits", "filled"]
+                )
+
+    return run
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         both = [
@@ -286,6 +305,46 @@ def similar_enough(overlap: Column, na: Column, nb: Column, percent: int) -> Col
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
+def _listed(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Pairs of two blocks of a bucket, of different components, that may share enough.
+
+        Beyond the bits two maps share, at most as many n-grams can be common as share a bit with another
+        one of their set; and at most those from this n-gram on, as a pair is listed in the first it shares.
+        """
+        low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+        n, place, filled, block = (rows[c].to_numpy().astype(np.int64) for c in ("n", "place", "filled", "block"))
+        label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        bits = np.unpackbits(rows["bits"].combine_chunks().flatten().to_numpy().view(np.uint8).reshape(len(n), -1), axis=1).astype(np.float32)
+        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = []
+        for at in range(0, len(one), 256):
+            x = one[at : at + 256]
+            least = lambda v: np.minimum(v[x][:, None], v[two])
+            need = _needed(n[x][:, None], n[two], percent)
+            near = (bits[x] @ bits[two].T + least(n - filled) >= need) & (least(n - place) >= need) & (label[x][:, None] != label[two])
+            if low == high:
+                near &= x[:, None] < two
+            i, j = np.nonzero(near)
+            found.append(np.stack([x[i], two[j]]))
+        i, j = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        names = rows["class"].to_pylist()
+        swap = np.array([names[x] > names[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        column = lambda which: pa.array([names[k] for k in which.tolist()], pa.binary())
+        return pa.table({"a": column(i), "b": column(j), "na": pa.array(n[i], pa.int32()), "nb": pa.array(n[j], pa.int32())})
+
+    return run
+
+
+def _texts_of(names: DataFrame, texts: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written ids of one document for each of the named classes, and (class, text) of these."""
+    needed = materialise(names.join(classes, "class").select("class", F.col("doc_id").alias("d"), F.col("version").alias("v")), "jaccard-needed")
+    wanted = small(needed, LOOKUP_ROWS)
+    met = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["version"] == wanted["v"]))
+    return needed, met.select("class", "text")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int, cells) -> DataFrame:
     """The written pairs(a, b, na, nb) that reach the threshold: overlaps per fragment, summed per pair.
 
@@ -293,12 +352,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, pe
     them travels with each pair.
     """
     names = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    needed = materialise(names.join(classes, "class").select("class", F.col("doc_id").alias("d"), F.col("version").alias("v")), "jaccard-needed")
-    wanted = small(needed, LOOKUP_ROWS)
-    fragments = materialise(
-        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["version"] == wanted["v"])).select("class", "text").mapInArrow(_fragments(n, cells), "class binary, fragment int, grams binary"),
-        "jaccard-fragments",
-    )
+    needed, met = _texts_of(names, texts, classes)
+    fragments = materialise(met.mapInArrow(_fragments(n, cells), "class binary, fragment int, grams binary"), "jaccard-fragments")
     one, two = (fragments.select(F.col("class").alias(x), "fragment", F.col("grams").alias(f"grams_{x}")) for x in ("a", "b"))
     partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", "grams_a", "grams_b")
     counted = partial.mapInArrow(_overlaps, "a binary, b binary, na int, nb int, fragment int, overlap long")
@@ -330,19 +385,9 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def _crowds(rows: DataFrame) -> DataFrame:
-    """Written rows of crowded buckets: n-gram, class, size, the class's n-grams here, and those before this one.
-
-    Of the earlier n-grams the first HEADS are kept.
-    """
-    grams = F.transform(F.sort_array(F.collect_list(F.struct("place", "gram"))), lambda x: x["gram"])
-    lists = rows.groupBy("class", "n").agg(grams.alias("grams"), F.collect_list("place").alias("places"))
-    place = F.posexplode(F.arrays_zip("grams", F.sort_array("places").alias("places")))
-    return materialise(
-        lists.select("class", "n", F.size("grams").alias("met_in"), F.slice("grams", 1, HEADS).alias("heads"), place.alias("at", "g")).select(
-            "class", "n", "met_in", F.col("g.grams").alias("gram"), F.col("g.places").alias("place"), F.when(F.col("at") > 0, F.slice("heads", F.lit(1), F.least("at", F.lit(HEADS)))).otherwise(F.array().cast("array<bigint>")).alias("earlier")
-        ),
-        "jaccard-crowds",
-    )
+    """Written rows of crowded buckets: n-gram and place, class and size, and in how many such buckets the class is."""
+    lists = rows.groupBy("class", "n").agg(F.collect_list(F.struct("gram", "place")).alias("grams"))
+    return materialise(lists.select("class", "n", F.size("grams").alias("met_in"), F.explode("grams").alias("g")).select("class", "n", "met_in", "g.gram", "g.place"), "jaccard-crowds")
 
 
 def _mixed(crowds: DataFrame, links: DataFrame) -> DataFrame:
@@ -374,8 +419,12 @@ def _tries(mixed: DataFrame, turn: int, percent: int) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
-def _crowd_links(crowds: DataFrame, links: DataFrame, verify, percent: int) -> DataFrame:
-    """Links that join the components left apart in crowded buckets."""
+def _crowd_links(crowds: DataFrame, links: DataFrame, verify, bit_maps, percent: int) -> DataFrame:
+    """Links that join the components left apart in crowded buckets.
+
+    Classes still apart meet in blocks of their buckets, and only pairs whose bit maps leave enough in
+    common have their sets compared.
+    """
 
     mixed = _mixed(crowds, links)
     for turn in range(CROWD_ROUNDS):
@@ -385,17 +434,15 @@ def _crowd_links(crowds: DataFrame, links: DataFrame, verify, percent: int) -> D
         discard(mixed)
         mixed = _mixed(crowds, links)
 
-    one, two = mixed.alias("s"), mixed.alias("t")
-    # a pair is listed once: where it shares an earlier n-gram, or could no longer share enough, it goes
-    left = F.least(F.col("s.n") - F.col("s.place"), F.col("t.n") - F.col("t.place"))
-    listed = one.join(
-        two,
-        (F.col("s.gram") == F.col("t.gram")) & (F.col("s.class") < F.col("t.class")) & (F.col("s.label") != F.col("t.label"))
-        & _lengths_fit("s.n", "t.n", percent) & (left >= F.ceil(F.lit(percent) * (F.col("s.n") + F.col("t.n")) / F.lit(100 + percent)))
-        & ~F.arrays_overlap("s.earlier", "t.earlier"),
-    ).select(F.col("s.class").alias("a"), F.col("t.class").alias("b"), F.col("s.n").alias("na"), F.col("t.n").alias("nb"))
+    maps = bit_maps(mixed.select("class").distinct())
+    parts = mixed.groupBy("gram").agg(F.ceil(F.count("*") / CROWD_BLOCK).cast("int").alias("parts"))
+    dealt = mixed.join(small(maps), "class").join(parts, "gram").withColumn("block", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    met = both.select("gram", "low", "high", "block", "class", "n", "place", "label", "bits", "filled").groupBy("gram", "low", "high")
+    listed = met.applyInArrow(_listed(percent), "a binary, b binary, na int, nb int")
     links = materialise(links.unionByName(verify(materialise(listed.distinct(), "jaccard-pairs"))), "jaccard-links")
-    discard(mixed)
+    for done in (mixed, maps):
+        discard(done)
     return links
 
 
@@ -406,6 +453,13 @@ def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int,
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(pairs, texts, classes, n, percent, cells)
 
+    def bit_maps(names: DataFrame) -> DataFrame:
+        needed, met = _texts_of(names, texts, classes)
+        # a repeated row gives its class twice
+        maps = materialise(met.mapInArrow(_bit_maps(n), "class binary, bits array<long>, filled int").dropDuplicates(["class"]), "jaccard-bits")
+        discard(needed)
+        return maps
+
     buckets = materialise(
         texts.select("text").mapInArrow(_prefixes(n, percent, cells), "gram long, class binary, n int, place int")
         .repartition(F.col("gram")).sortWithinPartitions("gram", "class")
@@ -424,7 +478,7 @@ def _class_links(documents: DataFrame, classes: DataFrame, n: int, percent: int,
     likely = small_met.join(sizes[0], "a", "left").join(sizes[1], "b", "left").where(_can_reach(F.col("met") + both, percent))
     links = verify(materialise(likely.select("a", "b", "na", "nb"), "jaccard-pairs"))
     discard(buckets)
-    links = _crowd_links(crowds, links, verify, percent)
+    links = _crowd_links(crowds, links, verify, bit_maps, percent)
     for done in (small_met, crowds, more):
         discard(done)
     return links

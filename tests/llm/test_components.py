@@ -83,3 +83,37 @@ def test_pairs_of_crowded_and_small_buckets(spark, monkeypatch):
     for crowd in (3, 1000):
         monkeypatch.setattr(jaccard, "CROWD", crowd)
         assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(table, n=4, percent=85).collect()} == want
+
+
+def test_classes_of_a_crowd_that_cannot_link_are_not_listed(spark, monkeypatch):
+    """Texts that differ too much by places of their own: their pairs are not handed on, their links are found."""
+    from marketlens.llm import jaccard
+
+    passage = [f"p{i}" for i in range(100)]
+    # two words of each are its own; every fifth one has a near copy
+    words = [passage[: k + 5] + [f"own{k}"] + passage[k + 6 : k + 50] + [f"mine{k}"] + passage[k + 51 :] for k in range(40)]
+    words += [w[:-1] + [f"end{k}"] for k, w in enumerate(words) if k % 5 == 0]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    label = list(range(len(words)))
+    for b in range(len(words)):
+        for a in range(b):
+            if 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+                label = [label[a] if x == label[b] else x for x in label]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "doc_id long, text string").repartition(4)
+    counts, write = [], jaccard.materialise
+
+    def materialise(df, name):
+        out = write(df, name)
+        if name == "jaccard-pairs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", materialise)
+    monkeypatch.setattr(jaccard, "CROWD", 4)
+    monkeypatch.setattr(jaccard, "CROWD_ROUNDS", 0)
+    if hasattr(jaccard, "CROWD_BLOCK"):
+        monkeypatch.setattr(jaccard, "CROWD_BLOCK", 10)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(label)) and len(set(label)) == 40
+    # of 1,128 pairs, those of neighbours come close to a link
+    assert counts[-1] <= 150
