@@ -90,7 +90,8 @@ class WordIds:
         return out
 
     def _ids(self, words: pa.Array, letters: bool) -> list[bytes]:
-        words = words.to_pylist()
+        # by way of numpy: a list of Arrow's values makes an object of each first
+        words = words.to_numpy(zero_copy_only=False).tolist()
         absent = self._absent(words)
         (self._encode_letters if letters else self._encode)(absent)
         return list(map(self.new.__getitem__, words))
