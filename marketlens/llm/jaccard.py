@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Words, discard, gram_hashes, materialise, mix64, signed, slices, small
+from .common import Words, discard, gram_hashes, materialise, mix64, released, signed, slices, small
 from .components import components
 
 CELLS = 1 << 20
@@ -93,7 +93,7 @@ def _sets_and_counts(n: int):
                 names=names,
             )
 
-    return run
+    return released(run)
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, mix64, signed, slices
+from .common import materialise, mix64, released, signed, slices
 
 WINDOW = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -152,6 +152,11 @@ def word_ids(path: str | None) -> WordIds:
     return _WORD_IDS[path]
 
 
+def forget_word_ids() -> None:
+    """Drop what this worker remembers. Called by name: a function inside another travels with copies of the globals it names."""
+    _WORD_IDS.clear()
+
+
 def _lexical_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Per text the least hash of three consecutive ids; of what there is, for shorter texts."""
     flat = ids.astype(np.uint64)
@@ -205,6 +210,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
     """How many rows of ``tokens`` hold each id; at most 65,536 sums, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_word_ids()  # they have served
         found = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for part in slices(batch, "ids", 1 << 22):
@@ -216,7 +222,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
         held = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(found[held])], names=["id", "df"])
 
-    sums = tokens.select("ids").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df"))
+    sums = tokens.select("ids").mapInArrow(released(run), "id long, df long").groupBy("id").agg(F.sum("df").alias("df"))
     out = np.zeros(1 << 16, np.int64)
     for row in sums.collect():
         out[row.id] = row.df
@@ -311,7 +317,7 @@ def cuts(total: int, window: int = WINDOW) -> np.ndarray:
 
 def _pack(window: int, with_ids: bool, corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _WORD_IDS.clear()  # the ids of words this worker remembers have served
+        forget_word_ids()  # they have served
         doc_ids, ids = [], []
         for batch in batches:
             doc_ids += batch.column("doc_id").to_pylist()
