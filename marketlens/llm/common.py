@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ BROADCAST_ROWS = 100_000
 SLICE_BYTES = 1 << 20
 # Rows of an Arrow batch while a table is written: texts are long.
 BATCH_ROWS = 1_000
+# Rows that the Parquet reader holds at a time within ``short_batches``.
+READ_ROWS = 256
 
 
 def words_of(text: Column) -> Column:
@@ -30,6 +33,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """For jobs run inside: rows are read from Parquet, and handed to Python, few at a time. No row is left out.
+
+    The reader's buffers double until a whole batch of texts or lists fits. As blocks of tens of MB they make
+    an executor's heap grow to several times what is in use, and it seldom shrinks again.
+    """
+    fewer = {"spark.sql.parquet.columnarReaderBatchSize": READ_ROWS, "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}
+    before = {key: spark.conf.get(key) for key in fewer}
+    for key, rows in fewer.items():
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        for key, rows in before.items():
+            spark.conf.set(key, rows)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared scratch folder and read back: lineage ends, nothing is lost with an executor."""
     spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, label)

@@ -7,9 +7,9 @@ Bucket counts of all documents and of the target give a gain per bucket; a docum
 the sum of its features' gains. Noise hashed from the document's id turns weights into a sample
 without replacement: the highest sums of weight and noise are drawn.
 
-Texts are split once: their buckets are written, and counts and weights read that table. The
-histogram has a fixed number of buckets, so the map tasks send at most one row per bucket and
-the gains may be broadcast. Ranks come from one range partitioning, no task sorts all.
+Texts are split once: their buckets are written, and counts and weights read that table. All of it is
+read in short batches. The histogram has a fixed number of buckets, so the map tasks send at most one row
+per bucket and the gains may be broadcast. Ranks come from one range partitioning, no task sorts all.
 """
 
 from __future__ import annotations
@@ -22,16 +22,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from tokenizers import Regex, pre_tokenizers
 
-from .common import materialise, slices
+from .common import materialise, short_batches, slices
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BUCKETS = 10_000
 # Features whose bucket a task remembers before it starts anew.
 REMEMBERED = 500_000
 _INNER = re.compile(GAP)
+# The lists of a written table are bytes of little-endian integers: counts of this type, buckets of ``place_type``.
+COUNT = np.dtype("<i4")
+
+
+def place_type(buckets: int) -> np.dtype:
+    """The narrowest integers that tell so many buckets apart."""
+    return np.min_scalar_type(max(buckets - 1, 0)).newbyteorder("<")
 
 
 def window_features(text: str, places: list[tuple[int, int]], n: int) -> Iterator[str]:
@@ -45,6 +53,7 @@ def _bucketed(n: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = pre_tokenizers.Split(Regex(GAP), "removed")
         known: dict[str, int] = {}
+        place = place_type(buckets)
 
         def bucket(feature: str) -> int:
             found = known.get(feature)
@@ -60,13 +69,13 @@ def _bucketed(n: int, buckets: int):
                     words = [place for _, place in split.pre_tokenize_str(lowered)]
                     features = Counter(window_features(lowered, words, n))
                     n_words.append(len(words))
-                    places.append([bucket(f) for f in features])
-                    counts.append(list(features.values()))
+                    places.append(np.fromiter(map(bucket, features), place, len(features)).tobytes())
+                    counts.append(np.fromiter(features.values(), COUNT, len(features)).tobytes())
                 if len(known) > REMEMBERED:
                     known.clear()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("version"), pa.array(n_words, pa.int64()),
-                     pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
+                     pa.array(places, pa.binary()), pa.array(counts, pa.binary())],
                     names=["doc_id", "version", "n_words", "buckets", "counts"],
                 )
 
@@ -76,22 +85,42 @@ def _bucketed(n: int, buckets: int):
 def bucketed(texts: DataFrame, doc_id: str, text: str, n: int, buckets: int) -> DataFrame:
     """(doc_id, version, n_words, buckets, counts), written: the distinct features of each text.
 
+    ``buckets`` and ``counts`` are lists of integers as bytes, which Spark reads and hands on as one value each.
     ``version`` is a hash of the text and tells rows with one id apart.
     """
     chosen = texts.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("version"), F.col(text).alias("text"))
-    return materialise(
-        chosen.mapInArrow(_bucketed(n, buckets), "doc_id long, version long, n_words long, buckets array<int>, counts array<int>"),
-        "resampling-features",
-    )
+    with short_batches(texts.sparkSession):
+        return materialise(
+            chosen.mapInArrow(_bucketed(n, buckets), "doc_id long, version long, n_words long, buckets binary, counts binary"),
+            "resampling-features",
+        )
+
+
+def _integers(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    """The integers of all rows of a column of ``bucketed``, in order."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _counted(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(buckets, np.int64)
+        for batch in batches:
+            places, counts = _integers(batch.column("buckets"), place_type(buckets)), _integers(batch.column("counts"), COUNT)
+            sums += np.bincount(places, counts, buckets).astype(np.int64)
+        filled = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(sums[filled])], names=["bucket", "n"])
+
+    return run
 
 
 def histogram(features: DataFrame, buckets: int) -> np.ndarray:
     """Occurrences per bucket over all texts: a table of fixed size, so it may come to the driver."""
-    cells = features.select(F.explode(F.arrays_zip("buckets", "counts")).alias("f"))
-    sums = cells.groupBy(F.col("f.buckets").alias("bucket")).agg(F.sum("f.counts").alias("n"))
+    cells = features.select("buckets", "counts").mapInArrow(_counted(buckets), "bucket long, n long")
+    sums = cells.groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
-    for row in sums.collect():
-        out[row["bucket"]] = row["n"]
+    with short_batches(features.sparkSession):
+        for row in sums.collect():
+            out[row["bucket"]] = row["n"]
     return out
 
 
@@ -109,10 +138,11 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 def _weighed(gain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, counts = batch.column("buckets"), batch.column("counts")
-            ends = np.cumsum(np.concatenate([[0], places.value_lengths().to_numpy(zero_copy_only=False)]))
-            values = counts.flatten().to_numpy().astype(np.int64)
-            sums = [np.concatenate([[0], np.cumsum(x)]) for x in (values, values * gain.value[places.flatten().to_numpy()])]
+            lengths = pc.binary_length(batch.column("counts")).to_numpy(zero_copy_only=False) // COUNT.itemsize
+            ends = np.cumsum(np.concatenate([[0], lengths]))
+            places = _integers(batch.column("buckets"), place_type(len(gain.value)))
+            values = _integers(batch.column("counts"), COUNT).astype(np.int64)
+            sums = [np.concatenate([[0], np.cumsum(x)]) for x in (values, values * gain.value[places])]
             n_features, weight = (s[ends[1:]] - s[ends[:-1]] for s in sums)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", "version", "n_words")), pa.array(n_features), pa.array(weight)],
@@ -152,7 +182,8 @@ def draw(weighed: DataFrame, percent: int = 10, least_words: int = 20, seed: int
     order = [F.desc("fit"), F.desc("score"), F.asc_nulls_last("doc_id")]
     # the number of a row holds its partition (upper bits) and its place there
     sorted_rows = scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    placed = materialise(sorted_rows, "resampling-order").withColumn("part", F.shiftright("at", 33))
+    with short_batches(weighed.sparkSession):
+        placed = materialise(sorted_rows, "resampling-order").withColumn("part", F.shiftright("at", 33))
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))  # one row per partition
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
